@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import license, mixing, tokens
 from .common import table
 
 
@@ -18,5 +18,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts}
-ORACLES: dict[str, str] = {}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_license_scan": op3_license_scan, "op5_mix_sources": op5_mix_sources}
+ORACLES: dict[str, str] = {"op3_license_scan": license.oracle()}
