@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license, mixing, tokens
+from . import license, mixing, sentencepiece, tiff, tokens
 from .common import table
 
 
@@ -26,5 +26,20 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_license_scan": op3_license_scan, "op5_mix_sources": op5_mix_sources}
+def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.store(table(spark, sf_dir, "documents")))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as a digest; ``round_trip`` says that decoding gave the text back."""
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
+    "op5_mix_sources": op5_mix_sources,
+    "op7_tiff_media": op7_tiff_media,
+    "op8_sentencepiece": op8_sentencepiece,
+}
 ORACLES: dict[str, str] = {"op3_license_scan": license.oracle()}
