@@ -103,7 +103,7 @@ def build(path: str):
     unknown = next(i for i, p in enumerate(pieces) if p[2] == UNKNOWN)
     if m["model_type"] == UNIGRAM:
         # reserved pieces are never taken from a text
-        scored = [(t if kind in (NORMAL, USER_DEFINED, BYTE, UNKNOWN) else f"{t}", s) for t, s, kind in pieces]
+        scored = [(t if kind in (NORMAL, USER_DEFINED, BYTE, UNKNOWN) else "\ufdd0" + t, s) for t, s, kind in pieces]
         tok = Tokenizer(models.Unigram(scored, unknown, bool(m["byte_fallback"])))
     else:
         tok = Tokenizer(models.BPE({t: i for i, (t, _, _) in enumerate(pieces)}, _merges(pieces), unk_token=pieces[unknown][0], fuse_unk=True, byte_fallback=bool(m["byte_fallback"])))
