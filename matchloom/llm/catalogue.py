@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license, mixing, sentencepiece, tiff, tokens
+from . import euclid, langid, license, mixing, pii, sentencepiece, tiff, tokens
 from .common import table
 
 
+#: Surrogates depend on it; a deployment passes its own.
+PII_KEY = "matchloom"
+
+
 def _tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -22,10 +26,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY, count_col="n_mentions")
+
+
 def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.store(table(spark, sf_dir, "documents")))
 
@@ -35,11 +48,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return euclid.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
+    "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_tiff_media": op7_tiff_media,
     "op8_sentencepiece": op8_sentencepiece,
+    "op10_embedding_duplicates": op10_embedding_duplicates,
 }
 ORACLES: dict[str, str] = {"op3_license_scan": license.oracle()}

@@ -51,30 +51,32 @@ def partitions(spark: SparkSession, rows: int | None = None, per: int = 2_000_00
     return max(n, math.ceil(rows / per)) if rows else n
 
 
-def groups(batches, key: str):
-    """Yield whole groups of a stream of Arrow batches that is sorted by ``key``.
+def groups(batches, keys: list[str]):
+    """Yield whole groups of a stream of Arrow batches that is sorted by ``keys``, none of them null.
 
-    Works on column dictionaries; only one group and one batch are held.
+    Only one group and one batch are held.
     """
+    import functools
+
     import pyarrow as pa
     import pyarrow.compute as pc
 
     held: list = []
     last = None
     for batch in batches:
-        if batch.num_rows == 0:
+        n = batch.num_rows
+        if n == 0:
             continue
-        t = pa.Table.from_batches([batch])
-        k = t.column(key).combine_chunks()
-        n = len(k)
-        change = [0, *(pc.indices_nonzero(pc.not_equal(k.slice(1), k.slice(0, n - 1))).to_numpy() + 1).tolist(), n]
+        cols = [batch.column(k) for k in keys]
+        moves = functools.reduce(pc.or_, [pc.not_equal(c.slice(1), c.slice(0, n - 1)) for c in cols])
+        change = [0, *(pc.indices_nonzero(moves).to_numpy() + 1).tolist(), n]
         for a, b in zip(change, change[1:]):
-            v = k[a].as_py()
-            if held and v != last:
+            v = tuple(c[a].as_py() for c in cols) if a == 0 else None
+            if held and (a or v != last):
                 yield pa.concat_tables(held)
                 held = []
-            held.append(t.slice(a, b - a))
-            last = v
+            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+            last = tuple(c[b - 1].as_py() for c in cols) if b == n else None
     if held:
         yield pa.concat_tables(held)
 

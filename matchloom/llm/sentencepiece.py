@@ -23,6 +23,8 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -157,6 +159,7 @@ def codec(path: str, threads: int, verify_every: int) -> Codec:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, verify_every: int = 64, batch: int = 256, with_ids: bool = True, keep=()) -> DataFrame:
     """Per row: the id, ``keep`` columns, ``n_tokens``, ``ids`` (if asked for), ``ids_sha256`` (32-bit little-endian ids), ``round_trip`` (the decoded text is the text) and ``backend``."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def run(batches):
@@ -185,6 +188,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: the id and ``text``, the decoded ids; null ids decode to the empty text."""
+    ship(tokens.sparkSession)
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches):

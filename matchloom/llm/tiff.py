@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 WIDTH = 64
 #: Payload bytes of a page (4 MiB) and of a strip (64 KiB).
 PAGE, STRIP = 1 << 22, 1 << 16
@@ -305,6 +307,7 @@ def pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=names).astype(object)
 
+    ship(files.sparkSession)
     rows = files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(walk, f"id {kind}, {PAGE_SCHEMA}").withColumnRenamed("id", id_col)
@@ -324,6 +327,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 made.append(encode(raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))))
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": sizes, "media": made})
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(make, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
@@ -353,6 +357,7 @@ def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 rows.append((key, n, size, sha.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
+    ship(stored.sparkSession)
     rows = stored.select(F.col(id_col).alias("id"), "n_bytes", "media")
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInPandas(read, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)

@@ -19,6 +19,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 CHUNK = 65_536
 OVERLAP = 512
 #: Characters before a left chunk's end in which its pre-tokens may still change; longer than any special string.
@@ -113,6 +115,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     if overlap <= 2 * MARGIN or chunk <= 2 * overlap:
         raise ValueError("chunk must exceed 2 * overlap, and overlap 2 * MARGIN")
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     counted = rows.mapInPandas(_counter(path, chunk, overlap), f"id {kind}, n_bytes long, n_tokens long")
