@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import euclid, langid, license, mixing, pii, sentencepiece, tiff, tokens
+from . import euclid, langid, license, mixing, pii, sentencepiece, substring, tiff, tokens
 from .common import table
 
 
@@ -18,6 +18,10 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents")).drop("edges")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"))
 
@@ -53,6 +57,7 @@ def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
