@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import euclid, langid, license, mixing, pii, sentencepiece, substring, tiff, tokens
+from . import euclid, jaccard, langid, license, mixing, pii, sentencepiece, substring, tiff, tokens
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return euclid.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_tiff_media": op7_tiff_media,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_duplicates": op10_embedding_duplicates,
 }
 ORACLES: dict[str, str] = {"op3_license_scan": license.oracle()}

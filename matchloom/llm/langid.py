@@ -25,6 +25,8 @@ from ..session import ship
 HIDDEN, WINDOW = 8, 128
 SAMPLE, PIECES, STRETCH = 400, 3, 192
 STEPS, BATCH, TRAIN_WINDOW = 300, 192, 48
+#: More languages than this are taken for an error in the labels.
+MOST_LABELS = 1000
 #: Windows of a block of the forward pass.
 BLOCK = 1024
 
@@ -36,10 +38,15 @@ def held_out(id_col):
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = SAMPLE) -> list[tuple[str, str]]:
     """(label, stretch) pairs: about ``per_label`` documents of each label, by a hash."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages")
+    if not counts:
+        return []
+    n_of = F.create_map(*[F.lit(v) for r in counts for v in (r["label"], r["n"])])
     h = F.xxhash64(F.lit("train"), "id")
-    drawn = rows.join(counts, "label").where(F.pmod(h, F.col("n")) < per_label)
+    drawn = rows.where((F.pmod(h, F.element_at(n_of, F.col("label"))) < per_label) & F.col("text").rlike(r"\p{L}"))
     room = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
     cut = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(F.col("text"), (F.pmod(F.xxhash64("id", i), room) + 1).cast("int"), F.lit(STRETCH)))
     return sorted((r["label"], s) for r in drawn.select("label", cut.alias("cut")).collect() for s in r["cut"])
