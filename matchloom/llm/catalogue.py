@@ -12,7 +12,7 @@ from .common import table
 PII_KEY = "matchloom"
 
 
-def _tokenizer_file(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -23,7 +23,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"))
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids as a digest; ``round_trip`` says that decoding gave the text back."""
-    return sentencepiece.encode(table(spark, sf_dir, "documents"), _tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
 
@@ -42,7 +45,30 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._matchloom_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_matchloom_path", None):
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``written`` made so far: for callers that have stored their results."""
+    for path in list(_tables):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _tables:
+        _tables.remove(path)
 
 
 def partitions(spark: SparkSession, rows: int | None = None, per: int = 2_000_000) -> int:

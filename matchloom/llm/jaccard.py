@@ -5,7 +5,11 @@ Documents are sets of distinct shingles; two link when 100 * intersection >=
 document's connected component under the links.
 
 1. Equal sets are one point, however many documents have them.
-2. Far points are told apart before any distance is taken.  Linked sets of which
+2. A point of which more than 100 - ``PERCENT`` per cent of all elements are
+   found in no other document links with nothing.  Such lonely points leave
+   first, by the counts of a sample of the elements (a sample of the elements
+   of all documents: a point leaves only if the sample alone proves it lonely).
+   Far points are told apart before any distance is taken.  Linked sets of which
    the smaller has s elements differ in at most s (100 - PERCENT) / PERCENT
    elements.  So if a set is dealt by hash into more parts than that, one part
    is equal in both: points that share no part are farther than r.  Parts are
@@ -24,8 +28,7 @@ document's connected component under the links.
    pivots.  A cell whose points are all linked to its pivot is done.  Cells
    join again as regions, until they fit a task, where the same steps run on
    arrays; cells that rounds do not thin out are cut into pairs of blocks.
-4. A point of which more than a tenth of all elements are found in no other
-   point of any region links with nothing, and leaves first.
+4. In crowded regions lonely points are looked for again, by all elements.
 
 Lower case is made of A-Z only; words are runs of anything but space and the
 control blanks 9 to 13.  A text of one word up to ``SHINGLE - 1`` is one
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import groups, written
+from .common import discard, groups, written
 from .components import components
 from .substring import _BLANK, _BYTE_BASE, _U, _WORD_BASE, _batches, _mix, _ranges, _raw
 
@@ -55,6 +58,9 @@ CELL, CELL_ELEMENTS, BLOCK = 128, 2_000_000, 64
 #: Regions from so many points on lose their lonely points first.
 CROWD = 16
 
+#: Size of the first sample of elements, by the share of elements in which linked sets may differ.
+SAMPLE = 1.4
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -118,29 +124,56 @@ def signatures(h: np.ndarray, bounds: list[int], percent: int = PERCENT) -> np.n
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _survey(k: int, percent: int):
-    """Size, 128-bit digest and part hashes of each set."""
+def _survey(k: int, share: float):
+    """Size, 128-bit digest and a sample of the elements of each set: those of the least hashes, a ``share`` of all hashes."""
 
     def run(batches):
-        bounds = level_bounds(1 << 31, percent)
+        import pandas as pd
+
+        top = _U(int(share * 2.0**64))
         for pdf in batches:
             raws = [_raw(t) for t in pdf.pop("text")]
-            out: dict[str, list] = {c: [] for c in ("n", "t1", "t2", "parts")}
+            out: dict[str, list] = {c: [] for c in ("n", "t1", "t2", "few")}
+            for a, b in _batches(raws):
+                owner, h = shingle_sets(raws[a:b], k)
+                cut = np.searchsorted(owner, np.arange(b - a + 1))
+                sums = [np.concatenate([[_U(0)], np.cumsum(_mix(h ^ _U(salt)))]) for salt in (0x1234567, 0x89ABCDEF)]
+                t1, t2 = ((c[cut[1:]] - c[cut[:-1]]).view(np.int64).tolist() for c in sums)
+                low = h < top
+                few = (h[low] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                split = np.searchsorted(owner[low], np.arange(b - a + 1))
+                out["n"] += np.diff(cut).tolist()
+                out["t1"] += t1
+                out["t2"] += t2
+                out["few"] += [few[x:y] for x, y in zip(split, split[1:])]
+            yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], **out})
+
+    return run
+
+
+def _parts(k: int, percent: int):
+    """Part hashes of each set."""
+
+    def run(batches):
+        import pandas as pd
+
+        bounds = level_bounds(1 << 31, percent)
+        for pdf in batches:
+            raws = [_raw(t) for t in pdf["text"]]
+            found = []
             for a, b in _batches(raws):
                 owner, h = shingle_sets(raws[a:b], k)
                 cut = np.searchsorted(owner, np.arange(b - a + 1))
-                for i in range(b - a):
-                    s = h[cut[i] : cut[i + 1]]
-                    t = [np.add.reduce(_mix(s ^ _U(salt)), dtype=_U) if len(s) else _U(0) for salt in (0x1234567, 0x89ABCDEF)]
-                    for c, v in zip(out, (len(s), *np.array(t, _U).view(np.int64).tolist(), signatures(s, bounds, percent))):
-                        out[c].append(v)
-            yield pdf.assign(**out)
+                found += [signatures(h[x:y], bounds, percent) for x, y in zip(cut, cut[1:])]
+            yield pd.DataFrame({"node": pdf["node"], "parts": found})
 
     return run
 
 
 def _sets(k: int):
     def run(batches):
+        import pandas as pd
+
         for pdf in batches:
             raws = [_raw(t) for t in pdf.pop("text")]
             found = []
@@ -148,7 +181,7 @@ def _sets(k: int):
                 owner, h = shingle_sets(raws[a:b], k)
                 cut = np.searchsorted(owner, np.arange(b - a + 1))
                 found += [np.sort(h[cut[i] : cut[i + 1]].view(np.int64)) for i in range(b - a)]
-            yield pdf.assign(n=[len(s) for s in found], elements=found)
+            yield pd.DataFrame({"region": pdf["region"], "node": pdf["node"], "n": [len(s) for s in found], "elements": found})
 
     return run
 
@@ -295,25 +328,36 @@ def links(points: DataFrame, percent: int = PERCENT) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row: the id, ``n_shingles`` and ``component_id`` (the least id reachable by links, its own included)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, text_hash: str | None = None) -> DataFrame:
+    """Per row: the id, ``n_shingles`` and ``component_id`` (the least id reachable by links, its own included).
+
+    ``text_hash``: a further column of that name, the text's xxhash64.
+    """
     if not 50 < percent < 100:
         raise ValueError("percent must lie between 50 and 100")
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    survey = source.mapInPandas(_survey(shingle, percent), f"id {kind}, x long, n long, t1 long, t2 long, parts array<long>")
+    share = min(1.0, SAMPLE * (100 - percent) / 100)
+    survey = source.mapInPandas(_survey(shingle, share), f"id {kind}, x long, n long, t1 long, t2 long, few array<int>")
     survey = written(survey.withColumn("sid", F.monotonically_increasing_id()), "jaccard-survey")
     classes = survey.where("n > 0").groupBy("t1", "t2", "n").agg(F.min("sid").alias("rep"), F.min("id").alias("least"))
 
-    parts = survey.select("t1", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a != b").select("part", "a")
-    near = parts.join(shared, "part").where("t1 != a").select("t1", "a").distinct()
-    regions = components(near, "t1", "a")
-    reps = classes.join(regions, F.col("t1") == F.col("id")).select(F.col("rep").alias("sid"), F.col("component").alias("region"))
-    reps = reps.join(survey.select("sid", "id", "x"), "sid")
-    texts = source.select(F.col("id").alias("s_id"), F.col("x").alias("s_x"), "text").join(reps, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("x") == F.col("s_x")))
-    points = texts.select("region", F.col("sid").alias("node"), "text").mapInPandas(_sets(shingle), "region long, node long, n long, elements array<long>")
+    elements = survey.select("sid", F.explode("few").alias("e"))
+    lonely = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("sid")).where("c = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
+    reps = classes.select(F.col("rep").alias("sid")).join(survey.select("sid", "id", "x", "n"), "sid").join(lonely, "sid", "left")
+    reps = reps.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+    same_row = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("x") == F.col("s_x"))
+    texts = source.select(F.col("id").alias("s_id"), F.col("x").alias("s_x"), "text").join(reps, same_row).select(F.col("sid").alias("node"), "text")
+    texts = written(texts, "jaccard-texts")
+
+    parts = texts.mapInPandas(_parts(shingle, percent), "node long, parts array<long>").select("node", F.explode("parts").alias("part"))
+    parts = written(parts, "jaccard-parts")
+    shared = parts.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("part", "a")
+    regions = components(parts.join(shared, "part").where("node != a").select("node", "a").distinct(), "node", "a")
+    discard(parts)
+    points = texts.join(regions.select(F.col("id").alias("node"), F.col("component").alias("region")), "node")
+    points = points.mapInPandas(_sets(shingle), "region long, node long, n long, elements array<long>")
     points = written(points, "jaccard-points")
     joined = components(links(points, percent))
 
@@ -321,5 +365,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(named, "jaccard-classes")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("t1", "t2", "n", "component_id")
-    out = survey.select("id", "n", "t1", "t2").join(named, ["t1", "t2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = survey.select("id", "x", "n", "t1", "t2").join(named, ["t1", "t2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.col("x").alias(text_hash)] if text_hash else []))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row of the least id stays, and of equal ids the least text hash.
+
+    All columns are kept.  Rows with a null id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, text_hash="x", **settings)
+    best = found.where(F.col(id_col).isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(id_col).alias("id"), "x")).alias("best"), F.count(F.lit(1)).alias("rows"))
+    best = written(best.select(F.col("best.id").alias("__id"), F.col("best.x").alias("__x"), "rows"), "jaccard-kept")
+    hashed = docs.withColumn("__h", F.xxhash64(text_col))
+    kept = hashed.where(F.col(id_col).isNotNull()).join(best.select("__id", "__x"), (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__x")), "left_semi")
+    # rows that are repeated as they are: one of them
+    repeated = found.groupBy(id_col, "x").count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([id_col, "__h"])
+    return kept.drop("__h").unionByName(docs.where(F.col(id_col).isNull()))

@@ -261,3 +261,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = fit(docs, id_col, text_col, label_col, **settings)
     out = predict(docs, model, id_col, text_col)
     return out.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = 0.35, **settings) -> DataFrame:
+    """``docs`` without the rows that have no language: ``und``, or a score below ``least``.  All columns are kept."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    model = fit(docs, id_col, text_col, label_col, **settings)
+    plain = docs.toDF(*names.values())
+    found = predict(plain, model, names[id_col], names[text_col], keep=list(names.values()))
+    found = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.select(*[F.col(v).alias(c) for c, v in names.items()])

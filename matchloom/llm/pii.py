@@ -109,9 +109,8 @@ def _to_digits(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.cast("int"))
 
 
-def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical form, canonical itself."""
-    h = _hash(key, kind, canon, attempt)
+def surrogate(key: str, kind: Column, canon: Column, h: Column) -> Column:
+    """The surrogate of a canonical form, canonical itself; ``h``: its ``_hash``, a column of its own."""
     made = _digits_at(h, F.length(canon))
     joined = lambda a: F.array_join(F.transform(a, lambda d: d.cast("string")), "")
     # the brand digit stays, the check digit passes the test only if the true one does
@@ -187,7 +186,12 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities that attempt 0 leaves in collision."""
-    state = written(found.select("kind", "canon", F.lit(0).alias("attempt"), surrogate(key, F.col("kind"), F.col("canon"), F.lit(0)).alias("made")), "pii-made")
+
+    def made(rows: DataFrame) -> DataFrame:
+        h = _hash(key, F.col("kind"), F.col("canon"), F.col("attempt"))
+        return written(rows.withColumn("h", h).withColumn("made", surrogate(key, F.col("kind"), F.col("canon"), F.col("h"))).drop("h"), "pii-made")
+
+    state = made(found.select("kind", "canon", F.lit(0).alias("attempt")))
     while True:
         true = state.select("kind", F.col("canon").alias("made"), F.lit(True).alias("is_true"))
         shared = state.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("keeps")).where("n > 1")
@@ -196,8 +200,9 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
         checked = written(clash.select("kind", "canon", "attempt", "made", again.alias("again")), "pii-checked")
         if checked.where("again").isEmpty():
             return checked.where("attempt > 0").select("kind", "canon", "attempt")
-        attempt = F.col("attempt") + F.col("again").cast("int")
-        state = written(checked.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), surrogate(key, F.col("kind"), F.col("canon"), attempt)).otherwise(F.col("made")).alias("made")), "pii-made")
+        fixed = checked.where("not again").drop("again")
+        state = fixed.unionByName(made(checked.where("again").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))))
+        state = written(state, "pii-made")
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -205,8 +210,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     exceptions = written(attempts(entities(docs, text_col), key), "pii-exceptions")
     text = F.col(text_col)
     rows = docs.withColumn("__mentions", _mentions(text))
-    kinded = F.transform("__mentions", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"), canonical(kind_of(m), m).alias("canon")))
-    rows = rows.withColumn("__found", kinded)
+    # one step an array, so that no expression holds another one twice
+    rows = rows.withColumn("__found", F.transform("__mentions", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"))))
+    rows = rows.withColumn("__found", F.transform("__found", lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), canonical(e["kind"], e["m"]).alias("canon"))))
     if exceptions.isEmpty():
         attempt = lambda e: F.lit(0)
     else:
@@ -217,7 +223,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
         held = written(held.groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__again")), "pii-rows")
         rows = rows.withColumn("__h", by_text).join(held, "__h", "left")
         attempt = lambda e: F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
-    made = F.transform("__found", lambda e: render(e["kind"], e["m"], surrogate(key, e["kind"], e["canon"], attempt(e))))
+    rows = rows.withColumn("__found", F.transform("__found", lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), e["canon"].alias("canon"), _hash(key, e["kind"], e["canon"], attempt(e)).alias("h"))))
+    rows = rows.withColumn("__found", F.transform("__found", lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), surrogate(key, e["kind"], e["canon"], e["h"]).alias("made"))))
+    made = F.transform("__found", lambda e: render(e["kind"], e["m"], e["made"]))
     pieces = F.split(text, PATTERN, -1)
     new = F.when(F.size("__mentions") > 0, F.array_join(F.flatten(F.zip_with(pieces, made, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")).otherwise(text)
     out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
