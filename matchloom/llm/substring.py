@@ -228,7 +228,12 @@ def _segments(window: int, prefix: int, hot: bool):
                     if hot:
                         starts = np.unique((places[:, None] - np.arange(window - prefix + 1)).ravel())
                         starts = starts[(starts >= first) & (starts <= first + n - window)]
-                        rows += zip([sid] * len(starts), pairs[0][starts].tolist(), pairs[1][starts].tolist(), (starts - first).tolist())
+                        # one row of each window and text, however often it stands there
+                        order = np.lexsort((pairs[1][starts], pairs[0][starts]))
+                        starts = starts[order]
+                        h1, h2 = pairs[0][starts], pairs[1][starts]
+                        new = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) if len(starts) else []
+                        rows += zip([sid] * len(new), h1[new].tolist(), h2[new].tolist(), [x.tolist() for x in np.split(starts - first, new[1:])])
                         continue
                     words = raws[a + i].split()
                     seen: dict[tuple, list[int]] = {}
@@ -246,7 +251,7 @@ def _segments(window: int, prefix: int, hot: bool):
 
 
 _COLD = ["prefix", "sid", "before", "words", "places"]
-_HOT = ["sid", "h1", "h2", "start"]
+_HOT = ["sid", "h1", "h2", "starts"]
 
 
 def _subtrees(window: int):
@@ -340,9 +345,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     marks = cold.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), "sid long, starts array<int>")
     warm = wanted.where(F.size("hot_anchors") > 0).select("sid", "text", F.col("hot_anchors").alias("anchors"))
     if not warm.isEmpty():
-        long = written(warm.mapInPandas(_segments(window, prefix, True), "sid long, h1 long, h2 long, start int"), "substring-hot")
+        long = written(warm.mapInPandas(_segments(window, prefix, True), "sid long, h1 long, h2 long, starts array<int>"), "substring-hot")
         twice = long.groupBy("h1", "h2").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("h1", "h2")
-        hot_marks = long.join(twice, ["h1", "h2"]).groupBy("sid").agg(F.collect_list("start").alias("starts"))
+        hot_marks = long.join(twice, ["h1", "h2"]).select("sid", "starts")
         marks = marks.unionByName(hot_marks)
     marks = marks.groupBy("sid").agg(F.collect_list("starts").alias("marks"))
     done = wanted.select("sid", "text").join(marks, "sid").mapInPandas(_finish(window), f"sid long, {_SPANS}").dropDuplicates(["sid"])
