@@ -19,13 +19,16 @@ def normalize(value: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", value).casefold().split())
 
 
-@F.pandas_udf("string")
-def normalize_text(values: pd.Series) -> pd.Series:
-    """``normalize`` by Arrow batches; each distinct text of a batch is handled once.  Null stays null."""
+def _normalize_batch(values: pd.Series) -> pd.Series:
     known = {v: normalize(v) for v in values.dropna().unique()}
     return values.map(known)
 
 
+def normalize_text(column) -> Column:
+    """``normalize`` by Arrow batches; each distinct text of a batch is handled once.  Null stays null."""
+    return F.pandas_udf(_normalize_batch, "string")(column)
+
+
 def is_blank(column: Column) -> Column:
     return column.rlike(rf"\A[{SPACES}]*\z")
 

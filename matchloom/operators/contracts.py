@@ -58,7 +58,7 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def exactly_once(part: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, in_part, in_whole) where the numbers of equal rows are not 1 and 1."""
     a = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("in_part"))
-    b = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("in_whole"))
-    on = reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-    both = a.join(b, on, "full_outer").select(*[F.coalesce(a[k], b[k]).alias(k) for k in keys], F.coalesce("in_part", F.lit(0)).alias("in_part"), F.coalesce("in_whole", F.lit(0)).alias("in_whole"))
+    b = whole.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("in_whole"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    both = a.join(b, on, "full_outer").select(*[F.coalesce(k, f"__{k}").alias(k) for k in keys], F.coalesce("in_part", F.lit(0)).cast("long").alias("in_part"), F.coalesce("in_whole", F.lit(0)).cast("long").alias("in_whole"))
     return both.where("in_part != 1 or in_whole != 1")

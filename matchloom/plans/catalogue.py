@@ -2,5 +2,478 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.similarity import guarded, indel_ratio, indel_ratio_sql, token_sort_ratio
+from ..functions.text import normalize_text, word_tokens
+from ..functions.measures import hash_rank
+from ..operators import contracts, evaluation, index, legacy, links, model, pairs, profile, retrieve, scoring, splits, tfidf, validate
+from ..schema import QUERY_PREFIXES, RetrievalSettings, SplitSettings, TfidfSettings
+from ..sources import views
+from ..sources.views import table
+from . import oracles
+
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+#: Share of the validation keys in the legacy split, and the roles' sample sizes.
+LEGACY_FRACTION = 0.5
+SPLIT = SplitSettings(train=300, development=100, evaluation=100)
+#: The score from which a candidate counts as a match where no model is asked.
+ACCEPT = 1.0
+FIXTURE_GRAMS = TfidfSettings()
+
+
+def query(f):
+    QUERIES[f.__name__.removeprefix("q_")] = f
+    return f
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+# Profiles
+
+
+@query
+def q_profile_source(spark: SparkSession, d: str) -> DataFrame:
+    return profile.profile_source(views.part_records(spark, d), "S1-")
+
+
+@query
+def q_profile_country_counts(spark, d):
+    return profile.country_counts(views.customers(spark, d))
+
+
+@query
+def q_profile_literal_tokens(spark, d):
+    c = table(spark, d, "conversations")
+    return profile.literal_tokens(c.select(F.col("role").alias("business_name"), F.col("text").alias("business_address")).unionByName(table(spark, d, "documents").select(F.col("lang").alias("business_name"), F.col("text").alias("business_address"))))
+
+
+def _truth_lists(spark, d):
+    keys = views.keys(spark, d).withColumnRenamed("query", "source1_entity_id")
+    return links.emit_lists(keys, views.order_truth(spark, d).withColumnRenamed("query", "source1_entity_id"), "source1_entity_id", "matched_entity_ids")
+
+
+@query
+def q_profile_truth_distribution(spark, d):
+    return profile.truth_distribution(_truth_lists(spark, d))
+
+
+@query
+def q_profile_truth_summary(spark, d):
+    return _round(profile.truth_summary(_truth_lists(spark, d)), "mean_matches")
+
+
+# Contracts
+
+
+@query
+def q_id_violations(spark, d):
+    """Order links as if their owners were an id column: repeated owners, and targets where queries are asked for."""
+    o = views.order_truth(spark, d)
+    ids = o.select(F.col("query").alias("id")).unionByName(o.select(F.col("target").alias("id")))
+    return contracts.id_violations(ids, "id", QUERY_PREFIXES)
+
+
+@query
+def q_emit_match_lists(spark, d):
+    return _truth_lists(spark, d)
+
+
+@query
+def q_parse_match_lists(spark, d):
+    return links.parse_lists(_truth_lists(spark, d), "source1_entity_id", "matched_entity_ids")[1]
+
+
+@query
+def q_coverage_gaps(spark, d):
+    """Customers with a truth link against customers with a prediction."""
+    return contracts.coverage_gaps(views.order_predictions(spark, d), views.order_truth(spark, d), "query")
+
+
+@query
+def q_unknown_targets(spark, d):
+    """Candidates that are no predictions' targets."""
+    return views.order_candidates(spark, d).join(views.order_predictions(spark, d), "target", "left_anti").select("query", "target")
+
+
+@query
+def q_ownership_conflicts(spark, d):
+    """Parts ordered by several suppliers."""
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("part"))
+    return contracts.ownership_conflicts(rows, "owner", "part")
+
+
+@query
+def q_subset_violations(spark, d):
+    return contracts.subset_violations(views.order_truth(spark, d), views.order_predictions(spark, d).where(F.col("target").startswith("S2-")), "query", "target")
+
+
+@query
+def q_split_source_check(spark, d):
+    """The legacy partitions against their source, by all columns: none but exactly-once rows."""
+    source = views.customers(spark, d)
+    parts = splits.legacy_split(source, LEGACY_FRACTION, SPLIT.seed).where("legacy = 'validation'").drop("legacy")
+    return contracts.exactly_once(parts, source, list(source.columns))
+
+
+@query
+def q_split_truth_check(spark, d):
+    """Truth lists against lists of predictions: what does not agree exactly once."""
+    keys = views.keys(spark, d).withColumnRenamed("query", "source1_entity_id")
+    other = links.emit_lists(keys, views.order_predictions(spark, d).withColumnRenamed("query", "source1_entity_id"), "source1_entity_id", "matched_entity_ids")
+    return contracts.exactly_once(_truth_lists(spark, d), other, ["source1_entity_id", "matched_entity_ids"])
+
+
+@query
+def q_split_by_disjointness(spark, d):
+    """Keys that truth and predictions share."""
+    return contracts.shared_keys(views.order_truth(spark, d), views.order_predictions(spark, d), "query")
+
+
+# Splits
+
+
+@query
+def q_hash_rank(spark, d):
+    return views.customers(spark, d).select("entity_id", hash_rank(F.col("entity_id"), SPLIT.seed).alias("rank"))
+
+
+def _reference(spark, d):
+    ref = views.reference(spark, d)
+    return splits.legacy_split(ref, LEGACY_FRACTION, SPLIT.seed)
+
+
+@query
+def q_legacy_split(spark, d):
+    return _reference(spark, d).select("entity_id", "legacy")
+
+
+def _roles(spark, d):
+    # roles take another seed than the legacy split, or its cut would decide them
+    return splits.assign_roles(_reference(spark, d), SplitSettings(seed=SPLIT.seed + 1, train=SPLIT.train, development=SPLIT.development, evaluation=SPLIT.evaluation))
+
+
+@query
+def q_assign_roles(spark, d):
+    return _roles(spark, d).select("entity_id", "country", "singleton", "role")
+
+
+@query
+def q_sample_quotas(spark, d):
+    return _long(splits.sample_quotas(_roles(spark, d), SPLIT), "rows", "quota")
+
+
+@query
+def q_stratified_sample(spark, d):
+    return splits.stratified_sample(_roles(spark, d), SPLIT).select("entity_id", "role", "country", "singleton")
+
+
+# Text and index
+
+
+@query
+def q_normalize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", normalize_text("text").alias("normalized"))
+
+
+@query
+def q_word_tokens(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", word_tokens(normalize_text("text")).alias("tokens"))
+    return docs.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def _settings(targets: DataFrame) -> RetrievalSettings:
+    """The default limits; a token in more than a fifth of the targets is not searched."""
+    return RetrievalSettings(max_token_documents=max(1, targets.count() // 5))
+
+
+@query
+def q_postings(spark, d):
+    return index.postings(views.part_sources(spark, d)[1])
+
+
+@query
+def q_term_frequency(spark, d):
+    """Document frequencies of every word of every document."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), normalize_text("text").alias("name"), F.lit("").alias("address"))
+    return index.term_frequency(index.postings(docs))
+
+
+@query
+def q_index_stats(spark, d):
+    targets = views.part_sources(spark, d)[1]
+    return _round(index.statistics(targets, index.term_frequency(index.postings(targets))), "mean_length")
+
+
+@query
+def q_rarest_terms(spark, d):
+    queries_, targets = views.part_sources(spark, d)
+    found = retrieve.rarest_terms(retrieve.query_texts(queries_), index.term_frequency(index.postings(targets)), _settings(targets))
+    return _long(found, "documents", "place").select("field", "text", "token", "documents", "place")
+
+
+@query
+def q_get_records(spark, d):
+    """Records of all true targets."""
+    targets = views.part_sources(spark, d)[1]
+    wanted = views.part_truth(spark, d).select(F.col("target").alias("entity_id"))
+    return index.get_records(targets, wanted).select("entity_id", "business_name", "business_address", "country")
+
+
+# Retrieval
+
+
+def _exact(spark, d, field):
+    queries_, targets = views.part_sources(spark, d)
+    return retrieve.exact_channel(queries_, targets, field, RetrievalSettings())
+
+
+@query
+def q_channel_exact_name(spark, d):
+    return _exact(spark, d, "name")
+
+
+@query
+def q_channel_exact_address(spark, d):
+    return _exact(spark, d, "address")
+
+
+def _words(spark, d, field):
+    queries_, targets = views.part_sources(spark, d)
+    found = retrieve.word_channels(queries_, targets, _settings(targets)).where(F.col("field") == field)
+    return _round(found.select("query", "target", "score"), "score")
+
+
+@query
+def q_channel_name_words(spark, d):
+    return _words(spark, d, "name")
+
+
+@query
+def q_channel_address_words(spark, d):
+    return _words(spark, d, "address")
+
+
+def _found(spark, d):
+    queries_, targets = views.part_sources(spark, d)
+    return queries_, targets, *retrieve.retrieve(queries_, targets, _settings(targets))
+
+
+@query
+def q_channel_union(spark, d):
+    queries_, targets = views.part_sources(spark, d)
+    return retrieve.union(retrieve.channels(queries_, targets, _settings(targets)))
+
+
+@query
+def q_retrieve_variants(spark, d):
+    ranked = _found(spark, d)[3]
+    return _long(_round(ranked.select("variant", "query", "target", "rank", "score"), "score"), "rank")
+
+
+@query
+def q_retrieval_trace(spark, d):
+    return _long(_round(retrieve.trace(_found(spark, d)[3]), "retrieval_score"), "rank")
+
+
+# Similarity
+
+
+def _name_pairs(spark, d):
+    """Every pair of different part names: a few dozen invented names, whatever the number of parts."""
+    names = views.part_records(spark, d).select(normalize_text("business_name").alias("a")).distinct()
+    every = names.agg(F.collect_set("a").alias("all"))
+    return names.join(F.broadcast(every)).select("a", F.explode("all").alias("b"))
+
+
+@query
+def q_indel_ratio(spark, d):
+    rows = _name_pairs(spark, d).select("a", "b", indel_ratio("a", "b").alias("ratio"))
+    return _round(rows, "ratio")
+
+
+@query
+def q_indel_ratio_builtin(spark, d):
+    """The same by built-in functions only."""
+    rows = _name_pairs(spark, d).select("a", "b", indel_ratio_sql(F.col("a"), F.col("b")).alias("ratio"))
+    return _round(rows, "ratio")
+
+
+@query
+def q_token_sort_ratio(spark, d):
+    rows = _name_pairs(spark, d).select("a", "b", guarded(F.col("a"), F.col("b"), token_sort_ratio(F.col("a"), F.col("b"))).alias("ratio"))
+    return _round(rows, "ratio")
+
+
+# TF-IDF
+
+
+@query
+def q_tfidf_weights(spark, d):
+    targets = views.part_sources(spark, d)[1]
+    idf, weights = tfidf.fit(targets, "name", FIXTURE_GRAMS.low, FIXTURE_GRAMS.high)
+    return _round(weights.join(idf, "gram").select("text", "gram", "idf", "w"), "idf", "w")
+
+
+@query
+def q_tfidf_topk(spark, d):
+    queries_, targets = views.part_sources(spark, d)
+    return _long(_round(tfidf.top_k(queries_, targets, FIXTURE_GRAMS), "score"), "rank")
+
+
+@query
+def q_knn_demo(spark, d):
+    queries_, targets = views.part_sources(spark, d)
+    return _long(_round(tfidf.nearest(queries_, targets), "distance"), "rank")
+
+
+# Pairs
+
+
+def _pairs(spark, d):
+    """The hybrid candidates with their scores."""
+    queries_, targets, _, ranked = _found(spark, d)
+    return queries_, targets, ranked.where("variant = 'hybrid'").select("query", "target", F.col("score").alias("retrieval_score"))
+
+
+@query
+def q_candidate_pairs(spark, d):
+    _, targets, found = _pairs(spark, d)
+    return pairs.candidate_pairs(found, targets)
+
+
+@query
+def q_pair_features(spark, d):
+    queries_, targets, found = _pairs(spark, d)
+    return _round(pairs.pair_features(found.select("query", "target"), queries_, targets, checked=False), *pairs.FEATURES)
+
+
+@query
+def q_label_pairs(spark, d):
+    return pairs.label_pairs(_pairs(spark, d)[2].select("query", "target"), views.part_truth(spark, d))
+
+
+@query
+def q_train_and_score(spark, d):
+    """Trees over the labelled candidates, and their scores."""
+    queries_, targets, found = _pairs(spark, d)
+    rows = pairs.label_pairs(pairs.pair_features(found.select("query", "target"), queries_, targets, checked=False), views.part_truth(spark, d))
+    fitted = model.fit_model(rows, SPLIT.seed)
+    return model.predict(fitted, rows).select("query", "target", "label", "score")
+
+
+@query
+def q_choose_matches(spark, d):
+    found = _pairs(spark, d)[2]
+    return found.where(F.col("retrieval_score") >= ACCEPT).select("query", "target")
+
+
+# Scores
+
+
+def _scored(spark, d):
+    return scoring.per_query(views.keys(spark, d), views.order_truth(spark, d), views.order_predictions(spark, d))
+
+
+@query
+def q_business_f05(spark, d):
+    return _round(_scored(spark, d).select("query", "n_truth", "n_chosen", "tp", "f05"), "f05")
+
+
+@query
+def q_macro_f05(spark, d):
+    return _round(scoring.macro(_scored(spark, d)), "macro_f05", "precision", "recall", "singleton_accuracy")
+
+
+@query
+def q_macro_f05_by_country(spark, d):
+    return _round(scoring.macro(_scored(spark, d), "country"), "macro_f05", "precision", "recall", "singleton_accuracy")
+
+
+def _order_lists(spark, d):
+    return scoring.per_query(views.keys(spark, d), views.order_truth(spark, d), views.order_candidates(spark, d))
+
+
+@query
+def q_candidate_diagnostics(spark, d):
+    return _round(scoring.candidate_diagnostics(_order_lists(spark, d)), "pair_recall", "mean_candidates", "oracle_macro_f05")
+
+
+@query
+def q_oracle_f05(spark, d):
+    return _round(_order_lists(spark, d).select("query", scoring.oracle_f05().alias("oracle_f05")), "oracle_f05")
+
+
+SUMMARY = ("pair_recall", "mean_candidates", "p50_candidates", "p95_candidates", "p99_candidates", "oracle_macro_f05")
+
+
+@query
+def q_retrieval_summary(spark, d):
+    return _round(scoring.retrieval_summary(_order_lists(spark, d), "country"), *SUMMARY)
+
+
+@query
+def q_retrieval_summary_by_variant(spark, d):
+    queries_, _, found, ranked = _found(spark, d)
+    keys = queries_.select(F.col("entity_id").alias("query"))
+    rows = evaluation.by_variant(keys, views.part_truth(spark, d), evaluation.list_sets(found, ranked))
+    return _round(scoring.retrieval_summary(rows, "variant"), *SUMMARY)
+
+
+def _links(spark, d):
+    queries_, targets, found, ranked = _found(spark, d)
+    return evaluation.true_links(views.part_truth(spark, d), queries_, targets, found, ranked)
+
+
+@query
+def q_true_link_diagnostics(spark, d):
+    return evaluation.link_diagnostics(_links(spark, d))
+
+
+@query
+def q_missed_links(spark, d):
+    return _round(evaluation.missed_links(_links(spark, d)), "name_ratio", "address_ratio")
+
+
+@query
+def q_query_details(spark, d):
+    queries_, targets, _, ranked = _found(spark, d)
+    terms = retrieve.rarest_terms(retrieve.query_texts(queries_), index.term_frequency(index.postings(targets)), _settings(targets))
+    return evaluation.query_details(queries_, views.part_truth(spark, d), ranked, terms)
+
+
+# Validator and legacy
+
+
+@query
+def q_validator_findings(spark, d):
+    """The order links as a list file with faults: a row for each status, so keys repeat, and owners among the targets."""
+    o = views._order_links(spark, d)
+    rows = o.groupBy(F.col("query").alias("key"), "status").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("priority") == "5", F.col("query")).when(F.col("priority") == "4", F.concat(F.lit("X"), "target")).otherwise(F.col("target")))), ",").alias("rest"))
+    required = views.keys(spark, d).select(F.col("query").alias("key"))
+    known = views.order_candidates(spark, d).select("target")
+    return validate.findings(rows.select("key", "rest"), required, known)
+
+
+@query
+def q_legacy_negatives(spark, d):
+    sources = views.part_sources(spark, d, prepared=False)[0].select(F.col("entity_id").alias("query"))
+    return legacy.negative_pairs(sources, views.part_truth(spark, d))
+
+
+@query
+def q_legacy_pair_metrics(spark, d):
+    t = views.order_truth(spark, d).withColumn("label", F.lit(1))
+    p = views.order_predictions(spark, d).withColumn("predicted", F.lit(1))
+    rows = views.order_candidates(spark, d).join(t, ["query", "target"], "left").join(p, ["query", "target"], "left").fillna(0, ["label", "predicted"])
+    return _round(legacy.pair_metrics(rows), "precision", "recall", "f05")
+
+
+ORACLES: dict[str, str] = oracles.ORACLES
