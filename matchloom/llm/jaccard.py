@@ -15,9 +15,10 @@ document's connected component under the links.
    is equal in both: points that share no part are farther than r.  Parts are
    counted by hash (partial aggregates), and points that share a part are one
    connected region.  Sizes are cut into levels; points near a level's lower
-   bound are also dealt at the level below.  A set that leaves more parts empty
-   than there are to spare is dealt again with another salt, so an equal part
-   that is not empty is sure.
+   bound are also dealt at the level below.  Parts of few
+   elements (``strong_size``), which unrelated sets may share, are left out; there are some parts
+   more to make up for them, and a set that has more weak parts than there are
+   to spare is dealt again with another salt, so an equal strong part is sure.
 3. In a region every true link is found by pivots.  ``PIVOTS`` points are drawn,
    all distances to them are exact, and each point goes to the Voronoi cell of
    its nearest pivot; a point x also goes to each cell q with
@@ -40,6 +41,9 @@ least id.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,12 +58,14 @@ SHINGLE, PERCENT = 3, 90
 LEVEL_RATIO = 1.5
 PIVOTS, ROUNDS = 8, 3
 #: Points and elements of a region that one task joins, and of a block beyond.
-CELL, CELL_ELEMENTS, BLOCK = 128, 2_000_000, 64
+CELL, CELL_ELEMENTS, BLOCK = 128, 2_000_000, 128
 #: Regions from so many points on lose their lonely points first.
 CROWD = 16
 
 #: Size of the first sample of elements, by the share of elements in which linked sets may differ.
-SAMPLE = 1.4
+SAMPLE = 2.0
+#: Deals of a set at a level, at most; the few that have no good one share a part of their own.
+SALTS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,11 +79,23 @@ def level_bounds(top: int, percent: int = PERCENT) -> list[int]:
     return bounds
 
 
-def parts_of(low: int, high: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(parts, spare) of a level of smaller sizes from ``low`` up to ``high`` - 1: an equal part is sure, and ``spare`` parts may be empty."""
+def strong_size(percent: int) -> int:
+    """Least elements of a part that counts: half of what a part has at least on average."""
+    return max(1, int(percent / (100 - percent) / LEVEL_RATIO / 2))
+
+
+@functools.lru_cache(None)
+def parts_of(low: int, high: int, percent: int) -> tuple[int, int]:
+    """(parts, spare) of a level of smaller sizes from ``low`` up to ``high`` - 1: an equal part is sure, and ``spare`` parts may be weak."""
     differ = (high - 1) * (100 - percent) // percent
-    empty = (differ + 1) * np.exp(-low / (differ + 1))
-    spare = 1 + int(np.ceil(3 * empty))
+    spare = 0
+    for _ in range(32):
+        parts = differ + 1 + spare
+        mean = low / parts
+        weak = parts * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(strong_size(percent)))
+        if weak + math.sqrt(weak) <= spare:
+            break
+        spare = min(math.ceil(weak + math.sqrt(weak)), differ + 1)
     return differ + 1 + spare, spare
 
 
@@ -111,16 +129,19 @@ def signatures(h: np.ndarray, bounds: list[int], percent: int = PERCENT) -> np.n
         if not (low <= n and n * percent <= (high - 1) * 100):
             continue
         parts, spare = parts_of(low, high, percent)
-        for salt in range(64):
-            mixed = _mix(h + _U((level * 64 + salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for salt in range(SALTS):
+            mixed = _mix(h + _U((level * SALTS + salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
             part = (mixed % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             sorted_ = part[order]
             begin = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            strong = np.diff(np.append(begin, n)) >= strong_size(percent)
             sums = np.add.reduceat(_mix(mixed[order]), begin)
-            out.append(_mix(sums + sorted_[begin].astype(_U) * _U(_WORD_BASE) + _U(level * 64 + salt)))
-            if parts - len(begin) <= spare:
+            out.append(_mix(sums + sorted_[begin].astype(_U) * _U(_WORD_BASE) + _U(level * SALTS + salt))[strong])
+            if parts - np.count_nonzero(strong) <= spare:
                 break
+        else:  # no deal was good enough: such sets of a level are near to each other by decree
+            out.append(_mix(np.array([level], _U) + _U(1 << 62)))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -276,8 +297,8 @@ def _without_lonely(points: DataFrame, percent: int) -> DataFrame:
     return left.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).drop("alone")
 
 
-def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, DataFrame]:
-    """Edges to the pivots of each region, and the cells that must join again."""
+def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges to the pivots of each region, (cell, node) of the cells that must join again, and the regions without their pivots."""
     r = 1 - percent / 100
     slot = F.pmod(F.xxhash64(F.lit(number), "node"), F.lit(PIVOTS))
     drawn = regions.groupBy("region", slot.alias("slot")).agg(F.max_by(F.struct("node", "n", "elements"), F.xxhash64("node", F.lit(number))).alias("pivot"))
@@ -294,11 +315,12 @@ def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, Da
     nearest = F.array_min(F.transform("ds", lambda e: e["d"]))
     is_pivot = F.exists("ds", lambda e: e["pivot"] == F.col("node"))
     near = F.filter("ds", lambda e: e["d"] <= nearest + 2 * r + 1e-9)
-    cells = seen.where(~is_pivot).select("region", "node", "n", "elements", F.explode(near).alias("e"))
-    cells = cells.select(F.xxhash64("region", "e.pivot").alias("region"), "node", "n", "elements", "e.d", "e.linked")
-    open_ = cells.groupBy("region").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least")).where("least is not null")
-    again = cells.join(open_, "region").where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9))
-    return edges, again.select("region", "node", "n", "elements")
+    seen = seen.where(~is_pivot).withColumn("near", near)
+    cells = seen.select("region", F.explode("near").alias("e")).select(F.xxhash64("region", "e.pivot").alias("cell"), "e.d", "e.linked")
+    open_ = written(cells.groupBy("cell").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least")).where("least is not null"), "jaccard-open")
+    rows = seen.select("region", "node", F.explode("near").alias("e")).select(F.xxhash64("region", "e.pivot").alias("cell"), "node", "e.d", "e.linked")
+    again = rows.join(open_, "cell").where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9)).select("cell", "node")
+    return edges, again, seen.select("region", "node", "n", "elements")
 
 
 def links(points: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -308,6 +330,7 @@ def links(points: DataFrame, percent: int = PERCENT) -> DataFrame:
     points = points.join(first.select("region", (F.col("m") >= CROWD).alias("crowd")), "region")
     regions = written(_without_lonely(points, percent).select("region", "node", "n", "elements"), "jaccard-regions")
     found = []
+    thinned = True
     for number in range(ROUNDS + 1):
         sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
         large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
@@ -315,13 +338,16 @@ def links(points: DataFrame, percent: int = PERCENT) -> DataFrame:
         if sizes.where(large).isEmpty():
             break
         regions = regions.join(sizes.where(large), "region")
-        if number == ROUNDS:
+        if number == ROUNDS or not thinned:
             blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(2 * F.col("e") / CELL_ELEMENTS)).cast("int")
             found.append(_cells(regions, percent, blocks))
             break
-        edges, again = _round(regions.drop("m", "e"), percent, number)
+        edges, again, rest = _round(regions.drop("m", "e"), percent, number)
         found.append(edges)
-        regions = written(again, "jaccard-regions")
+        again = written(again, "jaccard-again")
+        # cells that hold more than the regions they came from are no progress: the regions stay, without their pivots
+        thinned = again.count() <= rest.count()
+        regions = written(rest.drop("region").join(again.withColumnRenamed("cell", "region"), "node").select("region", "node", "n", "elements") if thinned else rest, "jaccard-regions")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
