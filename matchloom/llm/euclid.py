@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import groups, written
+from .common import groups, rowwise, written
 from .components import components
 
 WIDTH = 1.2
@@ -85,7 +85,7 @@ def _compare(threshold: float):
     def run(batches):
         import pyarrow as pa
 
-        for g in groups(batches, ["tab", "key", "i", "j"]):
+        for g in groups(batches, ["dims", "tab", "key", "i", "j"]):
             tab, bi, bj = (g.column(c)[0].as_py() for c in ("tab", "i", "j"))
             g = g.sort_by("id").combine_chunks()
             ids, mult = g.column("id").to_numpy(), g.column("mult").to_numpy().astype(np.float64)
@@ -124,21 +124,16 @@ def _compare(threshold: float):
 def _classes(rows: DataFrame) -> DataFrame:
     """Rows (vec_id, v): the raw double vector, null where there is no cosine."""
 
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for x in pdf["embedding"]:
-                a = None if x is None else np.asarray([np.nan if c is None else c for c in x] if getattr(x, "dtype", None) == object or isinstance(x, list) else x, np.float64)
-                with np.errstate(over="ignore", under="ignore"):
-                    good = a is not None and len(a) and np.isfinite(a).all() and np.any(a)
-                    if good:
-                        a = a / np.abs(a).max()  # neither the squares overflow nor do they vanish
-                out.append((a + 0.0).tobytes() if good else None)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": out})
+    def fn(vectors):
+        out = []
+        for x in vectors:
+            a = None if not x else np.array([np.nan if c is None else c for c in x], np.float64)
+            good = a is not None and np.isfinite(a).all() and np.any(a)
+            # scaled, so that squares neither overflow nor vanish
+            out.append((a / np.abs(a).max() + 0.0).tobytes() if good else None)
+        return [out]
 
-    return rows.mapInPandas(run, f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, v binary")
+    return rowwise(rows, ["embedding"], lambda: fn, "v binary")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, recall: float = 0.98, seed: int = 11) -> DataFrame:
@@ -163,13 +158,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     kind = classes.schema["id"].dataType.simpleString()
     index = classes.mapInPandas(hashed, f"id {kind}, mult long, v binary, each array<long>, keys binary")
-    places = index.select("id", "mult", "v", "keys", F.posexplode("each").alias("tab", "key"))
-    sizes = places.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = index.select(F.octet_length("v").alias("dims"), "id", "mult", "v", "keys", F.posexplode("each").alias("tab", "key"))
+    sizes = places.groupBy("dims", "tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = places.join(sizes, ["tab", "key"]).withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = places.join(sizes, ["dims", "tab", "key"]).withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tab", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "mult", "v", "keys")
-    cut = dealt.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j")
+    dealt = dealt.select("dims", "tab", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "mult", "v", "keys")
+    cut = dealt.repartition("dims", "tab", "key", "i", "j").sortWithinPartitions("dims", "tab", "key", "i", "j")
     found = written(cut.mapInArrow(_compare(threshold), f"id {kind}, links long, root {kind}"), "vector-links")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import discard, groups, written
+from .common import discard, groups, rowwise, written
 from .components import components
 from .substring import _BLANK, _BYTE_BASE, _U, _WORD_BASE, _batches, _mix, _ranges, _raw
 
@@ -148,28 +148,24 @@ def signatures(h: np.ndarray, bounds: list[int], percent: int = PERCENT) -> np.n
 def _survey(k: int, share: float):
     """Size, 128-bit digest and a sample of the elements of each set: those of the least hashes, a ``share`` of all hashes."""
 
-    def run(batches):
-        import pandas as pd
+    top = _U(int(share * 2.0**64)) if share < 1 else _U((1 << 64) - 1)
 
-        top = _U(int(share * 2.0**64))
-        for pdf in batches:
-            raws = [_raw(t) for t in pdf.pop("text")]
-            out: dict[str, list] = {c: [] for c in ("n", "t1", "t2", "few")}
-            for a, b in _batches(raws):
-                owner, h = shingle_sets(raws[a:b], k)
-                cut = np.searchsorted(owner, np.arange(b - a + 1))
-                sums = [np.concatenate([[_U(0)], np.cumsum(_mix(h ^ _U(salt)))]) for salt in (0x1234567, 0x89ABCDEF)]
-                t1, t2 = ((c[cut[1:]] - c[cut[:-1]]).view(np.int64).tolist() for c in sums)
-                low = h < top
-                few = (h[low] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                split = np.searchsorted(owner[low], np.arange(b - a + 1))
-                out["n"] += np.diff(cut).tolist()
-                out["t1"] += t1
-                out["t2"] += t2
-                out["few"] += [few[x:y] for x, y in zip(split, split[1:])]
-            yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], **out})
+    def fn(texts):
+        raws = [_raw(t) for t in texts]
+        out: list[list] = [[] for _ in range(4)]
+        for a, b in _batches(raws):
+            owner, h = shingle_sets(raws[a:b], k)
+            cut = np.searchsorted(owner, np.arange(b - a + 1))
+            sums = [np.concatenate([[_U(0)], np.cumsum(_mix(h ^ _U(salt)))]) for salt in (0x1234567, 0x89ABCDEF)]
+            low = h < top
+            few = (h[low] & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            split = np.searchsorted(owner[low], np.arange(b - a + 1))
+            new = [np.diff(cut).tolist(), *((c[cut[1:]] - c[cut[:-1]]).view(np.int64).tolist() for c in sums), [few[x:y] for x, y in zip(split, split[1:])]]
+            for column, values in zip(out, new):
+                column += values
+        return out
 
-    return run
+    return lambda: fn
 
 
 def _parts(k: int, percent: int):
@@ -232,15 +228,9 @@ def join_cell(sets: list[np.ndarray], percent: int = PERCENT, side: np.ndarray |
         mark[own] = False
         union = sizes[active] + sizes[p] - inter
         linked = 100 * inter >= percent * union
-        if side is None:
-            for old in np.unique(root[active[linked]]):
-                root[root == old] = min(root[p], old)
-            root[root == root[p]] = root[root == root[p]].min()
-        else:
-            across = linked & (side[active] != side[p])
-            for old in np.unique(root[active[across]]):
-                low, high = sorted((root[p], old))
-                root[root == high] = low
+        joined = linked if side is None else linked & ((side[active] != side[p]) | (active == p))
+        labels = np.unique(root[active[joined]])  # the pivot's own among them
+        root[np.isin(root, labels)] = labels[0]
         distance = 1 - inter / union
         if side is None:
             rest = distance[~linked]
@@ -363,9 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("percent must lie between 50 and 100")
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
     share = min(1.0, SAMPLE * (100 - percent) / 100)
-    survey = source.mapInPandas(_survey(shingle, share), f"id {kind}, x long, n long, t1 long, t2 long, few array<int>")
+    survey = rowwise(source, ["text"], _survey(shingle, share), "n long, t1 long, t2 long, few array<int>")
     survey = written(survey.withColumn("sid", F.monotonically_increasing_id()), "jaccard-survey")
     classes = survey.where("n > 0").groupBy("t1", "t2", "n").agg(F.min("sid").alias("rep"), F.min("id").alias("least"))
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .common import rowwise
 
 HIDDEN, WINDOW = 8, 128
 SAMPLE, PIECES, STRETCH = 400, 3, 192
@@ -218,36 +218,30 @@ class Reader:
 
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
     """Per row: the id, ``keep`` columns, ``lang_pred`` and ``score``; no shuffle."""
-    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep if c != id_col], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__read"))
 
-    def run(batches):
-        import pandas as pd
-
+    def make():
         reader = Reader(model) if model else None
-        for pdf in batches:
-            texts = pdf.pop("__read")
-            raws = [t.encode("utf-8", "replace") if isinstance(t, str) and reader else b"" for t in texts]
-            pred, score = [], []
-            a = 0
+
+        def fn(texts):
+            raws = [t.encode("utf-8", "replace") if t and reader else b"" for t in texts]
+            pred, score, a = ["und"] * len(raws), [0.0] * len(raws), 0
             while a < len(raws):
                 b, size = a, 0
                 while b < len(raws) and (b == a or size + len(raws[b]) <= 1 << 20):
                     size += len(raws[b])
                     b += 1
-                if reader and size:
+                if size:
                     prob = reader.documents(raws[a:b])
-                    best = prob.argmax(1)
-                    pred += [reader.labels[k] if r else "und" for k, r in zip(best, raws[a:b])]
-                    score += [float(min(1.0, x[k])) if r else 0.0 for x, k, r in zip(prob, best, raws[a:b])]
-                else:
-                    pred += ["und"] * (b - a)
-                    score += [0.0] * (b - a)
+                    for i, k in enumerate(prob.argmax(1)):
+                        if raws[a + i]:
+                            pred[a + i], score[a + i] = reader.labels[k], min(1.0, float(prob[i, k]))
                 a = b
-            yield pdf.assign(lang_pred=pd.Series(pred, dtype=object, index=pdf.index), score=pd.Series(score, dtype="float64", index=pdf.index))
+            return [pred, score]
+
+        return fn
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__read")
-    return rows.mapInPandas(run, f"{kinds}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rowwise(rows, ["__read"], make, "lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **settings) -> dict | None:

@@ -23,7 +23,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .common import rowwise
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -159,42 +159,35 @@ def codec(path: str, threads: int, verify_every: int) -> Codec:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, verify_every: int = 64, batch: int = 256, with_ids: bool = True, keep=()) -> DataFrame:
     """Per row: the id, ``keep`` columns, ``n_tokens``, ``ids`` (if asked for), ``ids_sha256`` (32-bit little-endian ids), ``round_trip`` (the decoded text is the text) and ``backend``."""
-    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
-    def run(batches):
+    def make():
         import numpy as np
-        import pandas as pd
 
         c = codec(path, threads, verify_every)
-        for pdf in batches:
-            texts = list(pdf.pop("__text"))
+
+        def fn(texts):
+            out: list[list] = [[] for _ in range(4 + with_ids)]
             for a in range(0, len(texts), batch):
                 part = texts[a : a + batch]
                 ids, back, backend = c.encode(part)
-                out = pdf.iloc[a : a + batch].copy()
-                out["n_tokens"] = [len(x) for x in ids]
-                if with_ids:
-                    out["ids"] = ids
-                out["ids_sha256"] = [hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest() for x in ids]
-                out["round_trip"] = [x == y for x, y in zip(back, part)]
-                out["backend"] = backend
-                yield out
+                arrays = [np.asarray(x, "<i4") for x in ids]
+                new = [[len(x) for x in ids], *([arrays] if with_ids else []), [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], [x == y for x, y in zip(back, part)], [backend] * len(part)]
+                for column, values in zip(out, new):
+                    column += values
+            return out
+
+        return fn
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    schema = f"{kinds}, n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, round_trip boolean, backend string"
-    return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return rowwise(rows, ["__text"], make, f"n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, round_trip boolean, backend string").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Per row: the id and ``text``, the decoded ids; null ids decode to the empty text."""
-    ship(tokens.sparkSession)
     rows = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
-    def run(batches):
+    def make():
         tok = codec(path, 1, 64).tok
-        for pdf in batches:
-            ids = [[] if x is None else [int(i) for i in x] for x in pdf.pop("ids")]
-            yield pdf.assign(text=tok.decode_batch(ids, skip_special_tokens=False))
+        return lambda ids: [tok.decode_batch([x or [] for x in ids], skip_special_tokens=False)]
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return rowwise(rows, ["ids"], make, "text string").withColumnRenamed("id", id_col)

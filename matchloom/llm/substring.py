@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import groups, written
+from .common import groups, rowwise, written
 
 WINDOW, PREFIX = 35, 12
 #: Texts that share a prefix up to which their suffixes go to one task.
 FULL = 1000
 #: Bytes of text that are hashed at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -112,6 +112,8 @@ class Hashed:
     def own_repeats(self, window: int) -> np.ndarray:
         """Window starts whose words start in the same text twice."""
         at = np.flatnonzero(self.left >= window)
+        if not len(at):
+            return np.zeros(len(self.words), bool)
         keys = _mix(self.grams(window)[at] + self.owner[at].astype(_U) * _U(_WORD_BASE))
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
@@ -180,28 +182,27 @@ _SPANS = "n_removed long, kept_sha256 string, edges array<int>"
 def _survey(window: int, prefix: int):
     """Words, own repeats and distinct anchors of each text."""
 
-    def run(batches):
-        for pdf in batches:
-            raws = [_raw(t) for t in pdf.pop("text")]
-            out: dict[str, list] = {c: [] for c in ("n_words", "t_hi", "t_lo", "n_removed", "kept_sha256", "edges", "anchors")}
-            for a, b in _batches(raws):
-                h = Hashed(raws[a:b])
-                gone = _covered(h.own_repeats(window), window)
-                at, keys = h.anchors(window, prefix)
-                owner = h.owner[at]
-                for i in range(b - a):
-                    x, n = int(h.first[i]), int(h.count[i])
-                    mine = np.unique(keys[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")])
-                    # the words' digest stands for the text
-                    raw = raws[a + i]
-                    removed, sha, edges = _kept(raw, gone[x : x + n])
-                    whole = bytes.fromhex(sha) if not removed else hashlib.sha256(b" ".join(raw.split())).digest()
-                    t = np.frombuffer(whole[:16], np.int64)
-                    for c, v in zip(out, (n, int(t[0]), int(t[1]), removed, sha, edges, mine.view(np.int64))):
-                        out[c].append(v)
-            yield pdf.assign(**out)
-
-    return run
+    def fn(texts):
+        raws = [_raw(t) for t in texts]
+        out: list[list] = [[] for _ in range(7)]
+        for a, b in _batches(raws):
+            h = Hashed(raws[a:b])
+            gone = _covered(h.own_repeats(window), window)
+            at, keys = h.anchors(window, prefix)
+            owner = h.owner[at]
+            for i in range(b - a):
+                x, n = int(h.first[i]), int(h.count[i])
+                mine = np.unique(keys[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")])
+                # the words' digest stands for the text
+                raw = raws[a + i]
+                removed, sha, edges = _kept(raw, gone[x : x + n])
+                whole = bytes.fromhex(sha) if not removed else hashlib.sha256(b" ".join(raw.split())).digest()
+                t = np.frombuffer(whole[:16], np.int64)
+                for column, v in zip(out, (n, int(t[0]), int(t[1]), removed, sha, edges, mine.view(np.int64))):
+                    column.append(v)
+        return out
+
+    return lambda: fn
 
 
 def _segments(window: int, prefix: int, hot: bool):
@@ -324,10 +325,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """Per row: the id, ``n_words``, ``n_removed``, ``kept_sha256`` (of the other words, joined by blanks) and ``edges``, the removed word ranges as begin, end, begin, end ..."""
     if not 0 < prefix < window:
         raise ValueError("the prefix must be shorter than the window")
-    spark = ship(docs.sparkSession)
+    ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    survey = source.mapInPandas(_survey(window, prefix), f"id {kind}, x long, n_words long, t_hi long, t_lo long, {_SPANS}, anchors array<long>")
+    survey = rowwise(source, ["text"], _survey(window, prefix), f"n_words long, t_hi long, t_lo long, {_SPANS}, anchors array<long>")
     survey = written(survey.withColumn("sid", F.monotonically_increasing_id()), "substring-survey")
     texts = survey.groupBy("t_hi", "t_lo").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("rep"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import rowwise
 
 WIDTH = 64
 #: Payload bytes of a page (4 MiB) and of a strip (64 KiB).
@@ -286,51 +287,53 @@ PAGE_SCHEMA = "page int, width int, height int, channels int, compression int, p
 def pages(files: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
     """One row per page of each file: the id, the page's layout, its samples, their mean; or ``error``."""
 
+    names = ["id", *[f.split()[0] for f in PAGE_SCHEMA.split(", ")]]
+
     def walk(batches):
-        import pandas as pd
+        import pyarrow as pa
+        from pyspark.sql import types as T
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = list(to_arrow_schema(T.StructType.fromDDL(PAGE_SCHEMA)).types)
+
+        def batch(ids, rows):
+            at = pa.array([r[0] for r in rows], pa.int64())
+            return pa.RecordBatch.from_arrays([ids.take(at), *[pa.array(v, k) for v, k in zip(list(zip(*rows))[1:], kinds)]], names=names)
 
-        names = ["id", *[f.split()[0] for f in PAGE_SCHEMA.split(", ")]]
-        for pdf in batches:
+        for b in batches:
             rows: list[tuple] = []
-            for key, blob in zip(pdf["id"], pdf["media"]):
-                k = 0
+            for n in range(b.num_rows):
+                blob, k = b.column("media")[n].as_py(), 0
                 try:
                     if blob is None:
                         raise ValueError("null file")
-                    for k, (tags, a) in enumerate(read_pages(bytes(blob)), 1):
-                        rows.append((key, k, a.shape[1], a.shape[0], a.shape[2], tags.get(COMPRESSION, (PLAIN,))[0], tags.get(PREDICTOR, (1,))[0], TILE_OFFSETS in tags, a.tobytes(), float(a.mean()) if a.size else None, None))
+                    for k, (tags, a) in enumerate(read_pages(blob), 1):
+                        rows.append((n, k, a.shape[1], a.shape[0], a.shape[2], tags.get(COMPRESSION, (PLAIN,))[0], tags.get(PREDICTOR, (1,))[0], TILE_OFFSETS in tags, a.tobytes(), float(a.mean()) if a.size else None, None))
                 except ValueError as e:
-                    rows.append((key, k + 1, None, None, None, None, None, None, None, None, str(e)))
+                    rows.append((n, k + 1, None, None, None, None, None, None, None, None, str(e)))
                 if len(rows) >= 16:
-                    yield pd.DataFrame(rows, columns=names).astype(object)
+                    yield batch(b.column("id"), rows)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=names).astype(object)
+                yield batch(b.column("id"), rows)
 
     ship(files.sparkSession)
     rows = files.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(walk, f"id {kind}, {PAGE_SCHEMA}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(walk, f"id {rows.schema['id'].dataType.simpleString()}, {PAGE_SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``n_bytes`` and ``media``: the padded UTF-8 text of each row as a TIFF file."""
 
-    def make(batches):
-        import pandas as pd
+    def make():
+        def fn(texts):
+            raws = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+            return [[len(r) for r in raws], [encode(r + b"\0" * (max(64, -(-len(r) // 64) * 64) - len(r))) for r in raws]]
 
-        for pdf in batches:
-            made, sizes = [], []
-            for text in pdf["text"]:
-                raw = text.encode("utf-8") if isinstance(text, str) else b""
-                sizes.append(len(raw))
-                made.append(encode(raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))))
-            yield pd.DataFrame({"id": pdf["id"], "n_bytes": sizes, "media": made})
+        return fn
 
-    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(make, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return rowwise(rows, ["text"], make, "n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -340,12 +343,10 @@ def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     of the absolute steps along rows, over all pages.
     """
 
-    def read(batches):
-        import pandas as pd
-
-        for pdf in batches:
+    def make():
+        def fn(blobs):
             rows = []
-            for key, n, blob in zip(pdf["id"], pdf["n_bytes"], pdf["media"]):
+            for blob in blobs:
                 sha, tail, size, height, count, total, steps = hashlib.sha256(), b"", 0, 0, 0, 0, 0
                 for count, (_, a) in enumerate(read_pages(blob), 1):
                     data = a.tobytes()
@@ -354,10 +355,10 @@ def digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     total += int(a.sum(dtype=np.int64))
                     steps += int(np.abs(np.diff(a[:, :, 0].astype(np.int16), axis=1)).sum(dtype=np.int64))
                 feature = f"pages={count};rows={height};mean={total / size:.4f};step={steps / max(1, height * (WIDTH - 1)):.4f}"
-                rows.append((key, n, size, sha.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(blob), hashlib.sha256(blob).hexdigest(), feature))
+            return list(zip(*rows)) or [[]] * 6
+
+        return fn
 
-    ship(stored.sparkSession)
     rows = stored.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(read, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return rowwise(rows, ["media"], make, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from .common import rowwise
 
 CHUNK = 65_536
 OVERLAP = 512
@@ -85,12 +85,10 @@ def count_long(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> in
 
 
 def _counter(path: str, chunk: int, overlap: int):
-    def count(batches):
-        import pandas as pd
-
+    def make():
         tok = tokenizer(path)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+
+        def count(texts):
             n_tokens = [0] * len(texts)
             short = [i for i, t in enumerate(texts) if t and len(t) <= chunk]
             for a in range(0, len(short), 64):
@@ -98,13 +96,13 @@ def _counter(path: str, chunk: int, overlap: int):
                 for i, e in zip(part, tok.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)):
                     n_tokens[i] = len(e)
             for i, t in enumerate(texts):
-                if len(t) > chunk:
+                if t and len(t) > chunk:
                     n_tokens[i] = count_long(tok, t, chunk, overlap)
-            out = pdf.drop(columns=["text"])
-            out["n_tokens"] = pd.Series(n_tokens, dtype="int64", index=pdf.index)
-            yield out
+            return [n_tokens]
+
+        return count
 
-    return count
+    return make
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -115,8 +113,6 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     if overlap <= 2 * MARGIN or chunk <= 2 * overlap:
         raise ValueError("chunk must exceed 2 * overlap, and overlap 2 * MARGIN")
-    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInPandas(_counter(path, chunk, overlap), f"id {kind}, n_bytes long, n_tokens long")
+    counted = rowwise(rows, ["text"], _counter(path, chunk, overlap), "n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
