@@ -218,7 +218,7 @@ class Reader:
 
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
     """Per row: the id, ``keep`` columns, ``lang_pred`` and ``score``; no shuffle."""
-    rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep if c != id_col], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__read"))
+    rows = docs.select(F.col(id_col).alias("__id"), *[F.col(c) for c in keep if c != id_col], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__read"))
 
     def make():
         reader = Reader(model) if model else None
@@ -241,7 +241,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
 
         return fn
 
-    return rowwise(rows, ["__read"], make, "lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rowwise(rows, ["__read"], make, "lang_pred string, score double").withColumnRenamed("__id", id_col)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **settings) -> dict | None:

@@ -159,7 +159,7 @@ def codec(path: str, threads: int, verify_every: int) -> Codec:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, verify_every: int = 64, batch: int = 256, with_ids: bool = True, keep=()) -> DataFrame:
     """Per row: the id, ``keep`` columns, ``n_tokens``, ``ids`` (if asked for), ``ids_sha256`` (32-bit little-endian ids), ``round_trip`` (the decoded text is the text) and ``backend``."""
-    rows = docs.select(F.col(id_col).alias("id"), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("__id"), *[F.col(c) for c in keep if c != id_col], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def make():
         import numpy as np
@@ -179,7 +179,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         return fn
 
-    return rowwise(rows, ["__text"], make, f"n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, round_trip boolean, backend string").withColumnRenamed("id", id_col)
+    return rowwise(rows, ["__text"], make, f"n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, round_trip boolean, backend string").withColumnRenamed("__id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -1,0 +1,81 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from matchloom.llm import pii
+
+TEXTS = [
+    (1, "mail Jo.54@mail3.example.com and +1 (743) 555-3824, card 4785380592391139 ip 8.196.197.208."),
+    (2, "call 1-743-555-3824 or +1 743 555 3824; 4111 1111 1111 1111, 4111111111111111 and 4111-1111-1111-1112"),
+    (3, "Mr. John Smith met Frau Anna Schmidt, Dr. Weber; Иван Петров; John Smith"),
+    (4, None),
+    (5, ""),
+    (6, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" DE89 3704 0044 0532 0130 00 ssn 123-45-6789 x'),
+    (7, "nothing here 42 and 3.14, 1.2.3.4.5, a@b, 2024-01-02"),
+    (8, "JO.54@MAIL3.EXAMPLE.COM"),
+]
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(digits))) % 10 == 0
+
+
+def test_types_formats_and_coreference(docs):
+    got = {r.doc_id: r for r in pii.replace(docs(TEXTS), "key", count_col="found").collect()}
+    one, two, three, six = (got[i].text for i in (1, 2, 3, 6))
+    assert [got[i].found for i in (1, 2, 3, 4, 5, 6, 7, 8)] == [4, 5, 5, 0, 0, 3, 0, 1]
+    assert (got[4].text, got[5].text, got[7].text) == (None, "", dict(TEXTS)[7])
+    assert re.fullmatch(r"mail \S+@\S+\.example\.org and \+1 \(7\d\d\) \d{3}-\d{4}, card 4\d{15} ip \d+\.\d+\.\d+\.\d+\.", one)
+    phone = re.sub(r"\D", "", one.split(" and ")[1].split(",")[0])
+    assert re.sub(r"\D", "", two.split(" or ")[0]) == phone and re.sub(r"\D", "", two.split(" or ")[1].split(";")[0]) == phone
+    cards = [re.sub(r"\D", "", c) for c in re.split(",| and ", two.split(";")[1])]
+    assert cards[0] == cards[1] != cards[2] and luhn(cards[0]) and not luhn(cards[2]) and all(c[0] == "4" for c in cards)
+    assert got[8].text == one.split()[1].upper()
+    for true in ("Jo.54@mail3", "743) 555-3824", "743-555-3824", "4785380592391139", "8.196.197.208", "1111 1111", "41111111", "John", "Anna", "Weber", "Петров"):
+        assert true not in one + two + three
+    name = re.fullmatch(r"Mr\. (\S+ \S+) met Frau (\S+) (\S+), Dr\. (\S+); (\S+) (\S+); (\S+ \S+)", three)
+    assert name[1] == name[7] and name[1].split()[0] in pii.GIVEN["latin", "m"] and name[2] in pii.GIVEN["latin", "f"]
+    assert name[5] in pii.GIVEN["cyrillic", "m"] and re.fullmatch("[А-Я][а-я]+", name[6])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d ssn \d{3}-\d\d-\d{4} x', six)
+
+
+def test_same_key_same_text_and_other_key_other_text(docs):
+    first = {r.doc_id: r.text for r in pii.replace(docs(TEXTS), "key").collect()}
+    assert first == {r.doc_id: r.text for r in pii.replace(docs(TEXTS).repartition(5), "key").collect()}
+    assert first[1] != {r.doc_id: r.text for r in pii.replace(docs(TEXTS), "other").collect()}[1]
+
+
+def test_collisions_are_resolved(docs, monkeypatch):
+    """With surrogates of few values, distinct addresses still get distinct ones, none a true one."""
+    whole = pii.surrogate
+
+    def narrow(key, kind, canon, h):
+        return F.when(kind == "ip", F.concat(F.lit("9.9.9."), F.pmod(pii._nibbles(h, F.lit(0), 4), F.lit(40)).cast("string"))).otherwise(whole(key, kind, canon, h))
+
+    monkeypatch.setattr(pii, "surrogate", narrow)
+    rng = random.Random(2)
+    true = [f"10.0.{i}.7" for i in range(15)] + ["9.9.9.3", "9.9.9.4"]
+    rows = [(i, f"from {a} to {rng.choice(true)}") for i, a in enumerate(true * 2)]
+    got = {r.doc_id: r.text for r in pii.replace(docs(rows), "k").collect()}
+    pairs = {x for i, text in rows for x in zip(re.findall(r"\d+\.\d+\.\d+\.\d+", text), re.findall(r"\d+\.\d+\.\d+\.\d+", got[i]))}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == 17
+    assert not {b for _, b in pairs} & set(true)
+
+
+def test_surroundings_stay(docs):
+    rng = random.Random(5)
+    parts = ["text ", "é\n", "a@b.cd", "1.2.3.4", " 555-666-7777 ", "ß,", "4111111111111111", "  "]
+    rows = [(i, " ".join(rng.choices(parts, k=12))) for i in range(60)]
+    found = re.compile(r"\S+@\S+|\d+(?:[.-]\d+)+|\d{16}")
+    got = {r.doc_id: r.text for r in pii.replace(docs(rows), "k").collect()}
+    for i, text in rows:
+        assert found.sub("#", text) == found.sub("#", got[i])
+
+
+def test_input_edges(docs, clashing):
+    assert pii.replace(docs([]), "k").count() == 0
+    got = pii.replace(clashing, "k")
+    assert got.columns == clashing.columns and sorted(map(str, got.collect())) == sorted(map(str, clashing.collect()))
+    long = "x" * 300_000 + " a@b.cd " + "1" * 50_000
+    assert pii.replace(docs([(1, long)]), "k").first().text.startswith("x" * 300_000 + " user")
