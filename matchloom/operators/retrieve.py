@@ -53,11 +53,11 @@ def bm25(terms: DataFrame, posted: DataFrame, lengths: DataFrame, n_targets: int
     return hits.groupBy("field", "text", F.col("entity_id").alias("target")).agg(F.round(-F.sum(idf * weight), DIGITS).alias("score"))
 
 
-def word_channels(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings) -> DataFrame:
-    """(query, target, field, score): the best targets of each field by BM25, then id."""
-    posted = index.postings(targets)
-    frequencies = index.term_frequency(posted)
-    length = index.lengths(targets)
+def word_channels(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings, saved: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(query, target, field, score): the best targets of each field by BM25, then id.  ``saved``: tables of a saved index."""
+    posted = saved["postings"] if saved else index.postings(targets)
+    frequencies = saved["term_frequency"] if saved else index.term_frequency(posted)
+    length = saved["lengths"] if saved else index.lengths(targets)
     n, mean = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
     scored = bm25(rarest_terms(query_texts(queries), frequencies, settings), posted, length, n, mean)
     place = F.row_number().over(Window.partitionBy("field", "text").orderBy("score", "target"))
@@ -66,9 +66,9 @@ def word_channels(queries: DataFrame, targets: DataFrame, settings: RetrievalSet
     return asked.select("query", "x.field", "x.text").join(best, ["field", "text"]).select("query", "target", "field", "score")
 
 
-def channels(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings) -> DataFrame:
+def channels(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings, saved: dict[str, DataFrame] | None = None) -> DataFrame:
     """(query, target, channel) of all four channels."""
-    out = word_channels(queries, targets, settings).select("query", "target", F.concat(F.col("field"), F.lit("_words")).alias("channel"))
+    out = word_channels(queries, targets, settings, saved).select("query", "target", F.concat(F.col("field"), F.lit("_words")).alias("channel"))
     for field in index.FIELDS:
         out = out.unionByName(exact_channel(queries, targets, field, settings).withColumn("channel", F.lit(f"exact_{field}")))
     return out
@@ -102,9 +102,9 @@ def variants(scored: DataFrame, settings: RetrievalSettings) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= settings.max_candidates)
 
 
-def retrieve(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings = RetrievalSettings()) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings = RetrievalSettings(), saved: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(union before the cap with similarities, variants) of prepared queries and targets.  No truth is taken."""
-    scored = measured(union(channels(queries, targets, settings)), queries, targets)
+    scored = measured(union(channels(queries, targets, settings, saved)), queries, targets)
     return scored, variants(scored, settings)
 
 
