@@ -21,7 +21,7 @@ def normalize(value: str) -> str:
 
 def _normalize_batch(values: pd.Series) -> pd.Series:
     known = {v: normalize(v) for v in values.dropna().unique()}
-    return values.map(known)
+    return pd.Series([known.get(v) if isinstance(v, str) else None for v in values], dtype=object, index=values.index)
 
 
 def normalize_text(column) -> Column:
