@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import jaccard, langid, mixing, pii, sentencepiece
 from matchloom.llm.catalogue import PII_KEY, tokenizer_file
-from matchloom.llm.common import release, table, written
+from matchloom.llm.common import discard, release, table, written
 from matchloom.session import ship
 
 
@@ -64,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            before, docs = docs, written(docs, f"pipeline-{name}")
+            docs = written(docs, f"pipeline-{name}", owned=False)
+            discard(before)
     return docs

@@ -36,16 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: list[str] = []
 
 
-def written(df: DataFrame, label: str = "step") -> DataFrame:
+def written(df: DataFrame, label: str = "step", owned: bool = True) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
 
+    ``owned``: ``release`` may delete it.
+
     The files are replicated like any other table of the store, so a lost
     executor costs no recomputation of what came before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.append(path)
+    if owned:
+        _tables.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._matchloom_path = path
     return out

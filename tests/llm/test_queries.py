@@ -39,6 +39,8 @@ def test_the_pipeline(spark, clashing, tmp_path):
             assert docs.select("doc_id").distinct().count() == docs.count()
     assert counts[1] > 0.95 * counts[0] and counts[2] <= counts[1] and counts[3] == counts[2] and counts[5] == counts[4]
     assert docs.where("not round_trip").count() == 0
+    whole = corpus_pipeline.run(spark, DIR)
+    assert sorted(map(tuple, whole.select("doc_id", "ids_sha256").collect())) == sorted(map(tuple, docs.select("doc_id", "ids_sha256").collect()))
 
 
 def test_the_pipeline_of_an_empty_table(spark, tmp_path):
