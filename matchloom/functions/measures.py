@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,3 +21,17 @@ def hash_rank(key: Column, seed) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0."""
     return F.when(b != 0, a / b)
+
+
+def record_hash(*columns) -> Column:
+    """SHA-256 of the columns' texts as a compact JSON array: one digest for a whole record."""
+    return F.sha2(F.to_json(F.array(*[F.col(c) if isinstance(c, str) else c for c in columns])), 256)
+
+
+def _short_batch(values: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None or v != v else format(v, ".12g") for v in values], dtype=object, index=values.index)
+
+
+def short_number(column) -> Column:
+    """A double with twelve significant digits, without trailing zeros; null stays null."""
+    return F.pandas_udf(_short_batch, "string")(column)

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.measures import short_number
 from ..operators import contracts, evaluation, index, legacy, links, model, pairs, profile, retrieve, scoring, splits, tfidf, validate
 from ..schema import CANDIDATE_COLUMNS, ID_COLUMNS, LITERAL_TOKENS, QUERY_PREFIXES, SOURCE_COLUMNS, TARGET_PREFIXES, TRACE_COLUMNS, TRUTH_COLUMNS, DataFormatError, RetrievalSettings, SplitSettings, TfidfSettings, id_ok, threshold_ok
 from ..sources import store
@@ -214,7 +215,7 @@ def evaluate_retrieval(spark: SparkSession, dataset: str, experiment: str, saved
             mine = ranked.where(F.col("variant") == variant).select(F.col("query").alias(KEY), "target")
             write_tsv(links.emit_lists(keys.withColumnRenamed("query", KEY), mine, KEY, CANDIDATE_COLUMNS[1]), f"{staged}/{name}.tsv", CANDIDATE_COLUMNS, KEY)
         rows = retrieve.trace(ranked)
-        write_tsv(rows.select(*[F.col(c).cast("string").alias(c) for c in TRACE_COLUMNS]), f"{staged}/retrieval_trace.tsv", TRACE_COLUMNS)
+        write_tsv(_as_text(rows.select(*TRACE_COLUMNS)), f"{staged}/retrieval_trace.tsv", TRACE_COLUMNS)
         written_keys, written = load_lists(spark, f"{staged}/candidate_pairs.tsv", CANDIDATE_COLUMNS[1])
         contracts.require(contracts.coverage_gaps(written_keys, keys, "query"), "saved candidates: coverage")
         contracts.require(contracts.same_rows(written, ranked.where("variant = 'hybrid'").select("query", "target")), "saved candidates differ from retrieval")
@@ -224,10 +225,10 @@ def evaluate_retrieval(spark: SparkSession, dataset: str, experiment: str, saved
         true = true.cache()
         link_rows = evaluation.true_links(true, queries, tables["records"], found, ranked).cache()
         missed = evaluation.missed_links(link_rows)
-        write_tsv(missed.select(*[F.col(c).cast("string").alias(c) for c in missed.columns]), f"{staged}/missed_links.tsv", missed.columns, KEY)
+        write_tsv(_as_text(missed), f"{staged}/missed_links.tsv", missed.columns, KEY)
         terms = retrieve.rarest_terms(retrieve.query_texts(queries), tables["term_frequency"], settings)
         details = evaluation.query_details(queries, true, ranked, terms)
-        write_tsv(details.select(*[F.col(c).cast("string").alias(c) for c in details.columns]), f"{staged}/query_details.tsv", details.columns, KEY)
+        write_tsv(_as_text(details), f"{staged}/query_details.tsv", details.columns, KEY)
         per = evaluation.by_variant(keys, true, evaluation.list_sets(found, ranked))
         countries = scoring.per_query(queries.select(F.col("entity_id").alias("query"), "country"), true, written)
         report = {
@@ -244,7 +245,34 @@ def _pair_trace(scored: DataFrame, queries: DataFrame, targets: DataFrame) -> Da
     """Pairs with both records' raw and normalised texts, features and further columns, as strings."""
     side = lambda df, key, p: df.select(F.col("entity_id").alias(key), F.col("business_name").alias(f"{p}_name_raw"), F.col("business_address").alias(f"{p}_address_raw"), F.col("name").alias(f"{p}_name_normalized"), F.col("address").alias(f"{p}_address_normalized"))
     rows = scored.join(side(queries, "query", "query"), "query").join(side(targets, "target", "target"), "target")
-    return rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+    return _as_text(rows)
+
+
+def _as_text(rows: DataFrame) -> DataFrame:
+    """All columns as strings, doubles with twelve digits."""
+    return rows.select(*[(short_number(n) if kind == "double" else F.col(n).cast("string")).alias(n) for n, kind in rows.dtypes])
+
+
+def write_outputs(keys: DataFrame, predictions: DataFrame, candidates: DataFrame, folder: str) -> None:
+    """Both list files, sorted, a row for each key; predictions outside the candidates raise."""
+    contracts.require(contracts.subset_violations(predictions, candidates, "query", "target"), "predicted targets are absent from candidates")
+    named = keys.select(F.col("query").alias(KEY))
+    for rows, columns, name in ((predictions, TRUTH_COLUMNS, "matching_results"), (candidates, CANDIDATE_COLUMNS, "candidate_pairs")):
+        contracts.require(rows.join(keys, "query", "left_anti"), f"{name}: unknown query ID")
+        lists = links.emit_lists(named, rows.select(F.col("query").alias(KEY), "target"), KEY, columns[1])
+        write_tsv(lists, f"{folder}/{name}.tsv", columns, KEY)
+
+
+def validate_output_files(spark: SparkSession, folder: str, keys: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(predictions, candidates) read back: exact coverage, known targets, predictions among the candidates."""
+    found = []
+    for name, column in (("matching_results", TRUTH_COLUMNS[1]), ("candidate_pairs", CANDIDATE_COLUMNS[1])):
+        have, rows = load_lists(spark, f"{folder}/{name}.tsv", column)
+        contracts.require(contracts.coverage_gaps(have, keys, "query"), f"{name}: coverage")
+        contracts.require(contracts.subset_violations(rows, targets.select(F.col("entity_id").alias("target")), "target"), f"{name}: unknown target")
+        found.append(rows)
+    contracts.require(contracts.subset_violations(*found, "query", "target"), "predicted targets are absent from candidates")
+    return found[0], found[1]
 
 
 def run_fixture(spark: SparkSession, fixture: str, output: str, settings: TfidfSettings = TfidfSettings(), threshold: float = 0.5, seed: int = 42) -> dict:
@@ -285,10 +313,10 @@ def run_fixture(spark: SparkSession, fixture: str, output: str, settings: TfidfS
         if difference > 1e-12:
             raise DataFormatError(f"the reloaded model differs by {difference}")
         chosen = pairs.choose_matches(scored, meta["threshold"], rows)
-        keys = test_queries.select(F.col("entity_id").alias(KEY))
-        emit = lambda found, column: links.emit_lists(keys, found.select(F.col("query").alias(KEY), "target"), KEY, column)
-        write_tsv(emit(chosen, TRUTH_COLUMNS[1]), f"{staged}/matching_results.tsv", TRUTH_COLUMNS, KEY)
-        write_tsv(emit(rows, CANDIDATE_COLUMNS[1]), f"{staged}/candidate_pairs.tsv", CANDIDATE_COLUMNS, KEY)
+        keys = test_queries.select(F.col("entity_id").alias("query"))
+        write_outputs(keys, chosen, rows.select("query", "target"), staged)
+        back, _ = validate_output_files(spark, staged, keys, test_targets)
+        contracts.require(contracts.same_rows(back, chosen), "the written matches differ from the chosen")
         errors, warnings = validate.validate(spark, f"{staged}/matching_results.tsv", f"{staged}/candidate_pairs.tsv", f"{fixture}/test", True)
         if errors or warnings:
             raise DataFormatError(f"the validator says {errors + warnings}")

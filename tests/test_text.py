@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -95,7 +96,20 @@ def test_f05_cases(spark):
 
 
 def test_hash_rank(spark):
-    import hashlib
-
     df = spark.createDataFrame([("S1-é",)], "k string")
     assert df.select(measures.hash_rank(F.col("k"), 42)).first()[0] == hashlib.sha256("42\0S1-é".encode()).hexdigest()[:32]
+
+
+def test_short_numbers_hashes_and_sql(spark):
+    import json
+
+    from matchloom.functions import registry
+
+    values = [0.1, 1 / 3, 1e-9, 100.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(measures.short_number("x")).collect()] == [None if v is None else f"{v:.12g}" for v in values]
+    df = spark.createDataFrame([("S1-a", 'É "q"')], "a string, b string")
+    want = hashlib.sha256(json.dumps(["S1-a", 'É "q"'], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert df.select(measures.record_hash("a", "b")).first()[0] == want
+    assert registry.register(spark) == ["normalize_text", "indel_ratio", "short_number"]
+    assert tuple(spark.sql("SELECT normalize_text(' A  b'), indel_ratio('AB', 'AC'), short_number(0.25D)").first()) == ("a b", 0.5, "0.25")
