@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import euclid, jaccard, langid, license, mixing, pii, sentencepiece, substring, tiff, tokens
+from . import euclid, jaccard, langid, license, mixing, oracles, pii, sentencepiece, substring, tiff, tokens
 from .common import table
 
 
@@ -72,4 +72,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_duplicates": op10_embedding_duplicates,
 }
-ORACLES: dict[str, str] = {"op3_license_scan": license.oracle()}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -49,3 +49,17 @@ def test_the_pipeline_of_an_empty_table(spark, tmp_path):
         stage(spark, docs, DIR).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     assert docs.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+def test_as_duckdb(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    df = catalogue.QUERIES[name](spark, DIR)
+    want = con.execute(catalogue.ORACLES[name])
+    names = [c[0] for c in want.description]
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(str, want.fetchall()))
