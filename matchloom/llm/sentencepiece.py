@@ -135,15 +135,26 @@ class Codec:
 
         self.tok, self.every, self.threads = build(path), verify_every, threads
         self.other = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = parse(path)
+        kinds = {NORMAL: lambda t: t.replace(MARK, " ").encode(), USER_DEFINED: str.encode, BYTE: lambda t: bytes((int(t[3:5], 16),))}
+        self.bytes = [kinds[k](t) if k in kinds else b"" for t, _, k in m["pieces"]]
+        self.first = b" " if m["dummy_prefix"] else b""
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str], str]:
-        """Ids and decoded texts of a batch, and the library they come from."""
+    def gives_back(self, ids: list[int], text: str) -> bool:
+        """Whether the ids' bytes, one by one, are the text's: then every decoder gives the text.  False proves nothing."""
+        return b"".join([self.bytes[i] for i in ids]) == (self.first + text.encode("utf-8", "replace") if text else b"")
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], str]:
+        """Ids of a batch, whether they decode to their text, and the library they come from."""
         ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        back = self.tok.decode_batch(ids, skip_special_tokens=False)
-        held = [i for i, t in enumerate(texts) if i % self.every == 0 or back[i] != t]
+        back = [self.gives_back(x, t) for x, t in zip(ids, texts)]
+        held = [i for i, same in enumerate(back) if i % self.every == 0 or not same]
         if [ids[i] for i in held] != self.other.encode([texts[i] for i in held], num_threads=self.threads):
             ids = self.other.encode(texts, num_threads=self.threads)
-            return ids, self.other.decode(ids, num_threads=self.threads), "sentencepiece"
+            return ids, [x == t for x, t in zip(self.other.decode(ids, num_threads=self.threads), texts)], "sentencepiece"
+        odd = [i for i in held if not back[i]]
+        for i, x in zip(odd, self.tok.decode_batch([ids[i] for i in odd], skip_special_tokens=False)):
+            back[i] = x == texts[i]
         return ids, back, "tokenizers"
 
 
@@ -172,7 +183,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 part = texts[a : a + batch]
                 ids, back, backend = c.encode(part)
                 arrays = [np.asarray(x, "<i4") for x in ids]
-                new = [[len(x) for x in ids], *([arrays] if with_ids else []), [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], [x == y for x, y in zip(back, part)], [backend] * len(part)]
+                new = [[len(x) for x in ids], *([arrays] if with_ids else []), [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], back, [backend] * len(part)]
                 for column, values in zip(out, new):
                     column += values
             return out
