@@ -19,6 +19,8 @@ from . import index
 
 #: Fixed values of the ranking function, and the digits kept of its scores.
 K1, B, LEAST_IDF, DIGITS = 1.2, 0.75, 1e-6, 12
+#: Up to so many postings (some 50 bytes each) are broadcast; more are joined by shuffling.
+SMALL_POSTINGS = 1_000_000
 #: Fixed value: the least length of a token that is searched.
 TOKEN = 2
 
@@ -44,22 +46,34 @@ def exact_channel(queries: DataFrame, targets: DataFrame, field: str, settings:
     return queries.select(F.col("entity_id").alias("query"), field).join(first, field).select("query", "target")
 
 
-def bm25(terms: DataFrame, posted: DataFrame, lengths: DataFrame, n_targets: int, mean_length: float) -> DataFrame:
-    """(field, text, target, score): less is better."""
-    hits = terms.join(posted, ["field", "token"]).join(lengths, "entity_id")
-    idf = F.log((F.lit(n_targets) - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
-    idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+def bm25(terms: DataFrame, posted: DataFrame, lengths: DataFrame, n_targets: int, mean_length: float, small: bool) -> DataFrame:
+    """(field, text, target, score): less is better.
+
+    A posting's weight does not depend on the query and is taken before the
+    join.  ``small`` postings are broadcast and the terms dealt by text, so all
+    that a text brings forth is summed and ranked where it arises, without a
+    shuffle of the scored pairs.
+    """
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean_length or 1.0)))
-    return hits.groupBy("field", "text", F.col("entity_id").alias("target")).agg(F.round(-F.sum(idf * weight), DIGITS).alias("score"))
+    weights = posted.join(lengths, "entity_id").select("field", "token", F.col("entity_id").alias("target"), weight.alias("weight"))
+    idf = F.log((F.lit(n_targets) - F.col("documents") + 0.5) / (F.col("documents") + 0.5))
+    asked = terms.select("field", "text", "token", F.when(idf <= 0, LEAST_IDF).otherwise(idf).alias("idf"))
+    if small:
+        n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # the other order of the keys: else the terms' own few partitions, coalesced to one, would do
+        asked, weights = asked.repartition(n, "text", "field"), F.broadcast(weights)
+    hits = asked.join(weights, ["field", "token"])
+    return hits.groupBy("field", "text", "target").agg(F.round(-F.sum(F.col("idf") * F.col("weight")), DIGITS).alias("score"))
 
 
 def word_channels(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings, saved: dict[str, DataFrame] | None = None) -> DataFrame:
     """(query, target, field, score): the best targets of each field by BM25, then id.  ``saved``: tables of a saved index."""
-    posted = saved["postings"] if saved else index.postings(targets)
+    posted = saved["postings"] if saved else index.postings(targets).persist()  # counted, aggregated and joined below
     frequencies = saved["term_frequency"] if saved else index.term_frequency(posted)
     length = saved["lengths"] if saved else index.lengths(targets)
     n, mean = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    scored = bm25(rarest_terms(query_texts(queries), frequencies, settings), posted, length, n, mean)
+    small = posted.count() <= SMALL_POSTINGS
+    scored = bm25(rarest_terms(query_texts(queries), frequencies, settings), posted, length, n, mean, small)
     place = F.row_number().over(Window.partitionBy("field", "text").orderBy("score", "target"))
     best = scored.withColumn("place", place).where(F.col("place") <= settings.per_channel)
     asked = queries.select(F.col("entity_id").alias("query"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in index.FIELDS])).alias("x"))
