@@ -41,13 +41,15 @@ SYLLABLES = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAMED = "|".join([*(t for v in TITLES.values() for t in v)])
 _GIVEN = "|".join(n for v in GIVEN.values() for n in v)
+#: Fixed card shapes, which a number behind them leaves alone: unbroken, and an issuer's first digits in the usual groups.
+_CARD = r"(?:\d{13,19}|(?:[3-6]\d|2[2-7])\d{2}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|3\d{3}[ -]\d{6}[ -]\d{4,5}|[56]\d{5}[ -]\d{13})(?!\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?![ -]?\d)",
+    "card": rf"(?<![\d+])(?:{_CARD}|\d(?:[ -]?\d){{12,18}}(?![ -]?\d))",
     "phone": r"(?<![\d+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])(?:\d[-. ])?\d{3}[-. ]\d{3}[-. ]\d{4}(?![\d-])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_NAMED})\.? (?:\p{{Lu}}[\p{{L}}'-]+)(?: \p{{Lu}}[\p{{L}}'-]+)?|(?:{_GIVEN}) \p{{Lu}}[\p{{L}}'-]+)",
 }

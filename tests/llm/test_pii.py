@@ -79,3 +79,21 @@ def test_input_edges(docs, clashing):
     assert got.columns == clashing.columns and sorted(map(str, got.collect())) == sorted(map(str, clashing.collect()))
     long = "x" * 300_000 + " a@b.cd " + "1" * 50_000
     assert pii.replace(docs([(1, long)]), "k").first().text.startswith("x" * 300_000 + " user")
+
+
+def test_cards_in_a_list_are_all_found(docs):
+    """A number behind a card does not hide it, whatever the card's shape."""
+    lists = [
+        "4465758382889437 4465758382889437",
+        "4111111111111111-4465758382889437 4785380592391139",
+        "4111 1111 1111 1111 4111 1111 1111 1111 4465-7583-8288-9437 12345",
+        "3782 822463 10005 3056 930902 5904 3782 822463 10005",
+        "4465758382889437 12345678901234567890",
+    ]
+    got = {r.doc_id: r for r in pii.replace(docs(list(enumerate(lists))), "k", count_col="found").collect()}
+    assert [got[i].found for i in range(5)] == [2, 3, 3, 3, 1]
+    for i, text in enumerate(lists):
+        assert re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", text)
+        true = re.findall(r"(?<!\d)\d{16}(?!\d)|4\d{3}(?:[ -]\d{4}){3}|3\d{3} \d{6} \d{4,5}", text)
+        assert not [c for c in true if c in got[i].text]
+    assert len(set(got[0].text.split())) == 1 and got[0].text.split()[0] == got[4].text.split()[0]
