@@ -1,12 +1,12 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Entities are found by one pattern of the types below.  A mention's canonical
-form (an e-mail address in lower case, a number's digits, a name's words in
-lower case) is hashed with a key, and the hash makes a surrogate of the same
-type and format: as many digits in the same places, a card number that passes
-the check digit test exactly if the true one does, octets of an address, a
-first name of the same gender and script.  Equal canonical forms get equal
-surrogates in all documents (coreference).
+form (an e-mail address or a hex secret in lower case, a number's digits, a
+name's words in lower case) is hashed with a key, and the hash makes a
+surrogate of the same type and format: as many digits in the same places, a
+card number that passes the check digit test exactly if the true one does,
+octets of an address, a first name of the same gender and script.  Equal
+canonical forms get equal surrogates in all documents (coreference).
 
 Distinctness: all distinct canonical forms of the table are gathered as rows;
 where two of one type share a surrogate, or a surrogate is a true entity of the
@@ -45,7 +45,7 @@ _GIVEN = "|".join(n for v in GIVEN.values() for n in v)
 _CARD = r"(?:\d{13,19}|(?:[3-6]\d|2[2-7])\d{2}(?:[ -]\d{4}){3}(?:[ -]\d{3})?|3\d{3}[ -]\d{6}[ -]\d{4,5}|[56]\d{5}[ -]\d{13})(?!\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9A-Fa-f]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -70,7 +70,7 @@ def kind_of(m: Column) -> Column:
 def canonical(kind: Column, m: Column) -> Column:
     digits = F.regexp_replace(m, r"\D", "")
     name = F.lower(F.regexp_replace(m, rf"^(?:{_NAMED})\.? ", ""))
-    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(m)).when(kind == "name", F.concat(_gender(m), F.lit(":"), _script(m), F.lit(":"), name)).otherwise(m)
+    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).when((kind == "email") | m.rlike("^[0-9A-Fa-f]{32,}$"), F.lower(m)).when(kind == "name", F.concat(_gender(m), F.lit(":"), _script(m), F.lit(":"), name)).otherwise(m)
 
 
 def _gender(m: Column) -> Column:
@@ -166,10 +166,14 @@ def render(kind: Column, mention: Column, made: Column) -> Column:
         lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["out"], F.substr(made, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
         lambda a: a["out"],
     )
+    # a secret's letters, one by one, in the case of the mention's
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    cased = F.array_join(F.zip_with(chars(mention), chars(made), lambda m, c: F.when(m.rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(mention, rf"^((?:{_NAMED})\.? )", 1)
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), into)
         .when(kind == "name", F.concat(title, F.initcap(F.substring_index(made, ":", -1))))
+        .when(kind == "secret", cased)
         .when((kind == "email") & (mention == F.upper(mention)), F.upper(made))
         .otherwise(made)
     )
