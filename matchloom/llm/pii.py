@@ -11,8 +11,10 @@ canonical forms get equal surrogates in all documents (coreference).
 Distinctness: all distinct canonical forms of the table are gathered as rows;
 where two of one type share a surrogate, or a surrogate is a true entity of the
 table, all but the least are hashed again with the next attempt, until none is
-left.  Only those exceptions need a look-up when texts are rewritten; they are
-joined by row, and Spark broadcasts them only below its size threshold.
+left.  Each attempt adds a syllable to an invented family name, 16 times the
+names before, so there are names for any number of people.  Only those
+exceptions need a look-up when texts are rewritten; they are joined by row, and
+Spark broadcasts them only below its size threshold.
 
 Null texts stay null, empty ones empty; a text without entities is unchanged.
 """
@@ -85,9 +87,9 @@ def _script(m: Column) -> Column:
 
 
 def _hash(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """128 hex digits."""
+    """128 hex digits, and the attempt behind them."""
     base = lambda side: F.sha2(F.concat_ws("|", F.lit(key), F.lit(side), kind, attempt.cast("string"), canon), 256)
-    return F.concat(base("a"), base("b"))
+    return F.concat(base("a"), base("b"), attempt.cast("string"))
 
 
 def _nibbles(h: Column, i: Column, n: int) -> Column:
@@ -152,7 +154,8 @@ def _name(h: Column, canon: Column) -> Column:
         first = F.when((script == s) & (gender == g), pick(names, 0)).otherwise(first)
     for s in ("latin", "cyrillic"):
         first = F.when((script == s) & (gender == "x"), pick(GIVEN[s, "m"] + GIVEN[s, "f"], 0)).otherwise(first)
-    last = F.when(script == "cyrillic", F.concat(*[pick(SYLLABLES["cyrillic"], i) for i in (1, 2, 3)])).otherwise(F.concat(*[pick(SYLLABLES["latin"], i) for i in (1, 2, 3)]))
+    syllables = F.sequence(F.lit(1), 3 + F.substr(h, F.lit(129)).cast("int"))
+    last = F.array_join(F.transform(syllables, lambda i: F.when(script == "cyrillic", pick(SYLLABLES["cyrillic"], i)).otherwise(pick(SYLLABLES["latin"], i))), "")
     # one word in the true name after any title: a family name alone
     return F.lower(F.when(F.instr(F.substring_index(canon, ":", -1), " ") > 0, F.concat_ws(" ", first, last)).otherwise(last))
 
