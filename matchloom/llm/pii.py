@@ -57,7 +57,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must have for any pattern to match: cheap to look for.
-HINT = rf"\d|@|(?<!\p{{L}})(?:{_NAMED}|{_GIVEN})[. ]|gh[pousr]_|sk-"
+HINT = rf"\d|@|(?<!\p{{L}})(?:{_NAMED}|{_GIVEN})[. ]|AKIA|gh[pousr]_|sk-|[A-Fa-f]{{32}}"
 
 
 def kind_of(m: Column) -> Column:

@@ -126,3 +126,22 @@ def test_more_names_than_the_shortest_ones(docs):
         title, name, rest = r.text.split()
         assert (title, rest) == ("Mr", "came") and made.setdefault(rows[r.doc_id][1], name) == name
     assert len(made) == len(set(made.values())) == 5000 and not set(made.values()) & set(true)
+
+
+def test_a_match_of_any_pattern_implies_the_hint(docs):
+    """Also where a mention has neither digits nor a listed name."""
+    mentions = {
+        "email": ["a@b.cd", "É@ß.de"],
+        "secret": ["a" * 32, "ABCDEF" * 6, "AKIA" + "Q" * 16, "ghp_" + "a" * 36, "ghs_" + "B" * 36, "sk-" + "z" * 20],
+        "iban": ["DE89 3704 0044 0532 0130 00"],
+        "ip": ["8.8.8.8"],
+        "ssn": ["123-45-6789"],
+        "card": ["4111111111111111", "4111 1111 1111 1111"],
+        "phone": ["(030) 123 4567", "+49 30 1234567", "555-666-7777"],
+        "name": ["Mr. Xy", "Dr Weber", "Иван Петров", "Claire Dubois"],
+    }
+    assert set(mentions) == set(pii.PATTERNS)
+    rows = [(i, f"– {m} –") for i, m in enumerate(m for v in mentions.values() for m in v)]
+    got = docs(rows).select("text", *[F.col("text").rlike(p).alias(p) for p in (pii.PATTERN, pii.HINT)]).collect()
+    assert not [r[0] for r in got if not (r[1] and r[2])]
+    assert not [r.doc_id for r in pii.replace(docs(rows), "k").collect() if r.text == rows[r.doc_id][1]]
