@@ -5,11 +5,20 @@ same normaliser, white space marker, pieces, scores and byte fallback: a unigram
 model of the pieces' log probabilities, or, for a BPE model, merges ranked by
 the score of what they make.  Batches are encoded by several threads.
 
-Parity: in each batch every ``verify_every``-th row, and each row on which the
-round trip does not give the normalised text back, is encoded by the reference
-library too.  A batch with one difference is encoded by that library as a whole,
-and its rows say ``backend = 'sentencepiece'``; nothing is returned unverified
-in such a batch.  Every other row says 'tokenizers'.
+Parity: every row is held against the reference library.  In a BPE model with
+all byte pieces, no normalisation and no piece that holds a marker behind
+another character, no merge crosses the start of a run of blanks, so a text's
+ids are those of its words, a run of blanks and what follows it.  Both libraries
+merge by score and then from the left, but for pieces that can be made of
+different parts; where scores are distinct (but for runs of markers), two such merges compete only if a
+word holds a piece of three or more characters twice.  So words of one blank in
+which no three characters come twice are equal by proof, and each other distinct
+word is encoded by both libraries, once a process as long as it is remembered.
+For any other model each row is encoded by both.  So is every
+``verify_every``-th row, and each row whose ids' bytes are not the text's.  Rows
+that differ or hold a word that does (the libraries break ties of equal scores
+in their own ways, as in long runs of blanks) get the reference library's ids
+and say ``backend = 'sentencepiece'``.  Every other row says 'tokenizers'.
 
 Null and empty texts have no tokens and decode to the empty text.
 """
@@ -18,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 
 from pyspark.sql import DataFrame
@@ -28,6 +38,10 @@ from .common import rowwise
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: A run of blanks and what follows it.
+WORDS = re.compile(" +[^ ]*")
+#: Words that a process remembers, and their greatest length; others are encoded again.
+KNOWN, KNOWN_CHARS = 200_000, 64
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -139,23 +153,59 @@ class Codec:
         kinds = {NORMAL: lambda t: t.replace(MARK, " ").encode(), USER_DEFINED: str.encode, BYTE: lambda t: bytes((int(t[3:5], 16),))}
         self.bytes = [kinds[k](t) if k in kinds else b"" for t, _, k in m["pieces"]]
         self.first = b" " if m["dummy_prefix"] else b""
+        own = {k for _, _, k in m["pieces"]}
+        self.by_words = (
+            m["model_type"] == BPE and m["dummy_prefix"] and m["escape"] and m["byte_fallback"] and not m["charsmap"] and not m["squeeze"] and USER_DEFINED not in own
+            and UNUSED not in own and sum(k == BYTE for _, _, k in m["pieces"]) == 256 and (MARK, NORMAL) in {(t, k) for t, _, k in m["pieces"]}
+            and not any(MARK in t.lstrip(MARK) for t, _, k in m["pieces"] if k == NORMAL)
+        )
+        scores = {t: s for t, s, k in m["pieces"] if k == NORMAL and len(t) > 1 and t.strip(MARK)}
+        single = {t for t, _, k in m["pieces"] if k == NORMAL and len(t) == 1}
+        self.by_order = len(set(scores.values())) == len(scores) and single.issuperset("".join(scores))
+        self.same: set[str] = {" "}
+        self.other_words: set[str] = set()
 
     def gives_back(self, ids: list[int], text: str) -> bool:
         """Whether the ids' bytes, one by one, are the text's: then every decoder gives the text.  False proves nothing."""
         return b"".join([self.bytes[i] for i in ids]) == (self.first + text.encode("utf-8", "replace") if text else b"")
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], str]:
-        """Ids of a batch, whether they decode to their text, and the library they come from."""
+    def differing(self, texts: list[str]) -> list[bool]:
+        """Whether a text holds a word that the libraries encode in different ways."""
+        words = [set(WORDS.findall(" " + t.replace(MARK, " "))) if t else set() for t in texts]
+        unseen = set().union(*words) - self.same - self.other_words
+        new = [w for w in unseen if not self.by_order or w.startswith("  ") or len({w[i : i + 3] for i in range(len(w) - 2)}) < len(w) - 2]
+        # the prefix stands for a word's first blank
+        rest = [w[1:] for w in new]
+        mine = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
+        odd = {w for w, x, y in zip(new, mine, self.other.encode(rest, num_threads=self.threads)) if x != y}
+        out = [not w.isdisjoint(odd) or not w.isdisjoint(self.other_words) for w in words]
+        for known, more in ((self.same, unseen - odd), (self.other_words, odd)):
+            if len(known) > KNOWN:
+                known.clear()
+            known.update(w for w in more if len(w) <= KNOWN_CHARS)
+        self.same.add(" ")
+        return out
+
+    def encode_rows(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[str]]:
+        """Ids of a batch, whether they decode to their text, and the library each row's come from."""
         ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         back = [self.gives_back(x, t) for x, t in zip(ids, texts)]
-        held = [i for i, same in enumerate(back) if i % self.every == 0 or not same]
-        if [ids[i] for i in held] != self.other.encode([texts[i] for i in held], num_threads=self.threads):
-            ids = self.other.encode(texts, num_threads=self.threads)
-            return ids, [x == t for x, t in zip(self.other.decode(ids, num_threads=self.threads), texts)], "sentencepiece"
-        odd = [i for i in held if not back[i]]
+        differs = self.differing(texts) if self.by_words else [True] * len(texts)
+        held = [i for i, same in enumerate(back) if i % self.every == 0 or not same or differs[i]]
+        true = dict(zip(held, self.other.encode([texts[i] for i in held], num_threads=self.threads)))
+        wrong = [i for i in held if ids[i] != true[i]]
+        backends = ["tokenizers"] * len(texts)
+        for i, x in zip(wrong, self.other.decode([true[i] for i in wrong], num_threads=self.threads) if wrong else []):
+            ids[i], back[i], backends[i] = true[i], x == texts[i], "sentencepiece"
+        odd = [i for i in held if not back[i] and backends[i] == "tokenizers"]
         for i, x in zip(odd, self.tok.decode_batch([ids[i] for i in odd], skip_special_tokens=False)):
             back[i] = x == texts[i]
-        return ids, back, "tokenizers"
+        return ids, back, backends
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], str]:
+        """``encode_rows`` with one name for the batch: 'sentencepiece' where any row's ids are that library's."""
+        ids, back, backends = self.encode_rows(texts)
+        return ids, back, min(backends, default="tokenizers")
 
 
 _codecs: dict = {}
@@ -181,9 +231,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out: list[list] = [[] for _ in range(4 + with_ids)]
             for a in range(0, len(texts), batch):
                 part = texts[a : a + batch]
-                ids, back, backend = c.encode(part)
+                ids, back, backends = c.encode_rows(part)
                 arrays = [np.asarray(x, "<i4") for x in ids]
-                new = [[len(x) for x in ids], *([arrays] if with_ids else []), [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], back, [backend] * len(part)]
+                new = [[len(x) for x in ids], *([arrays] if with_ids else []), [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], back, backends]
                 for column, values in zip(out, new):
                     column += values
             return out

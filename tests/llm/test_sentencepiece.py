@@ -31,6 +31,42 @@ def test_a_difference_hands_the_batch_over():
     assert backend == "sentencepiece" and ids == c.other.encode(TEXTS) and back == [x == t for x, t in zip(c.other.decode(ids), TEXTS)]
 
 
+def test_runs_of_blanks(docs):
+    """Ties between the marker pieces' merges: every row has the library's ids, wherever it falls in its batch."""
+    runs = ["x" + " " * n + "y" for n in range(1, 601)]
+    texts = ["a b", *runs, *[t + " z" for t in runs], *[" " * n for n in range(1, 601)], "▁" * 16 + "y", "x ▁ " + "▁" * 30 + "y z"]
+    c = sp.Codec(PATH, 1, 10**9)
+    want = c.other.encode(texts)
+    plain = [e.ids for e in c.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert any(x != y for x, y in zip(plain, want))
+    for _ in range(2):  # the second time by the words that are known
+        ids, back, backends = c.encode_rows(texts)
+        assert ids == want and back == [x == t for x, t in zip(c.other.decode(ids), texts)]
+        assert backends == ["tokenizers" if x == y else "sentencepiece" for x, y in zip(plain, want)]
+    for i, r in enumerate(sorted(sp.encode(docs(list(enumerate(texts))), PATH).collect(), key=lambda r: r.doc_id)):
+        assert r.ids == want[i]
+
+
+def test_words_prove_their_texts():
+    """The ids of a text are those of its words, one by one, in both libraries."""
+    import random
+
+    c = sp.Codec(PATH, 1, 10**9)
+    assert c.by_words and c.by_order
+    rng = random.Random(4)
+    parts = ["for", "x=", "\n", " ", "  ", "    ", " " * 16, "▁", "ab", "aaaa", "====", "日本", "🎉", "1234", "\t", "<s>", "é", "\x00"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000)]
+    mark = c.other.piece_to_id(sp.MARK)
+    for t, want in zip(texts, c.other.encode(texts)):
+        words = sp.WORDS.findall(" " + t.replace(sp.MARK, " "))
+        assert want == [i for w in words for i in (c.other.encode(w[1:]) if w != " " else [mark])]
+    assert c.encode_rows(texts)[0] == c.other.encode(texts)
+    # words in which no three characters come twice: the tokenizer alone
+    words = {"".join(rng.choices("abcdeins ", k=rng.randint(1, 14))).replace(" ", "") for _ in range(20000)}
+    words = [w for w in words if len({w[i : i + 3] for i in range(len(w) - 2)}) == max(0, len(w) - 2)]
+    assert [e.ids for e in c.tok.encode_batch_fast(words, add_special_tokens=False)] == c.other.encode(words)
+
+
 def test_unigram_models(tmp_path):
     """A unigram model of our own, written field by field."""
     import struct
