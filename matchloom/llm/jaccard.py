@@ -344,10 +344,11 @@ def links(points: DataFrame, percent: int = PERCENT) -> DataFrame:
     return edges
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, text_hash: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, text_hash: str | None = None, key: str | None = None) -> DataFrame:
     """Per row: the id, ``n_shingles`` and ``component_id`` (the least id reachable by links, its own included).
 
-    ``text_hash``: a further column of that name, the text's xxhash64.
+    ``text_hash``: a further column of that name, the text's xxhash64.  ``key``:
+    one that is unique for a component, also where ids repeat.
     """
     if not 50 < percent < 100:
         raise ValueError("percent must lie between 50 and 100")
@@ -379,9 +380,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("t1", "t2", "n", "rep", "least").join(joined, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
     named = written(named, "jaccard-classes")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("t1", "t2", "n", "component_id")
-    out = survey.select("id", "x", "n", "t1", "t2").join(named, ["t1", "t2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.col("x").alias(text_hash)] if text_hash else []))
+    named = named.join(least, "component").select("t1", "t2", "n", "component", "component_id")
+    out = survey.select("sid", "id", "x", "n", "t1", "t2").join(named, ["t1", "t2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.col("x").alias(text_hash)] if text_hash else []), *([F.coalesce("component", "sid").alias(key)] if key else []))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -389,8 +390,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns are kept.  Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, text_hash="x", **settings)
-    best = found.where(F.col(id_col).isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(id_col).alias("id"), "x")).alias("best"), F.count(F.lit(1)).alias("rows"))
+    found = near_duplicates(docs, id_col, text_col, text_hash="x", key="__key", **settings)
+    best = found.where(F.col(id_col).isNotNull()).groupBy("__key").agg(F.min(F.struct(F.col(id_col).alias("id"), "x")).alias("best"), F.count(F.lit(1)).alias("rows"))
     best = written(best.select(F.col("best.id").alias("__id"), F.col("best.x").alias("__x"), "rows"), "jaccard-kept")
     hashed = docs.withColumn("__h", F.xxhash64(text_col))
     kept = hashed.where(F.col(id_col).isNotNull()).join(best.select("__id", "__x"), (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__x")), "left_semi")

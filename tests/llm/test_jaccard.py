@@ -108,3 +108,11 @@ def test_one_of_each(docs, clashing):
     assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
     rows = docs([(4, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (9, "z")])
     assert sorted((r.doc_id for r in jaccard.one_of_each(rows).collect()), key=str) == [2, 9, None]
+
+
+def test_one_of_each_keeps_unrelated_texts_of_equal_ids(docs):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    kept = lambda rows: sorted(map(tuple, jaccard.one_of_each(docs(rows)).collect()), key=str)
+    assert kept([(7, a), (7, b)]) == [(7, a), (7, b)]
+    assert kept([(7, a), (9, a), (7, b), (11, b), (7, a)]) == [(7, a), (7, b)]
+    assert kept([(7, a), (7, ""), (7, None), (3, b)]) == sorted([(7, a), (7, ""), (7, None), (3, b)], key=str)
