@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from matchloom.llm import tokens
 
@@ -29,6 +31,26 @@ def test_no_boundary_widens_to_the_whole():
         assert tokens.count_long(tokens.tokenizer(PATH), text, 400, 160) == library(text)
 
 
+@given(st.lists(st.one_of(st.sampled_from(["'s", "'LL", " ", "\n", "\x1c", "\x85", "\xa0", "²", "ª", "‘", "Ё", "1", "don't"]), st.characters(max_codepoint=0x527), st.characters()), max_size=40).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_pre_tokens_count_as_the_whole(text):
+    assert tokens.counter(PATH, tokens.CHUNK, tokens.OVERLAP)([text]) == [[library(text)]]
+
+
+def test_every_plain_character():
+    plain = [chr(c) for c in range(0x2030) if tokens.PLAIN.fullmatch(chr(c))]
+    texts = [form.format(c) for c in plain for form in ("a{0}b 1{0}2 .{0}!", " {0} {0}{0}\n{0}")]
+    assert tokens.counter(PATH, tokens.CHUNK, tokens.OVERLAP)(texts) == [[library(t) for t in texts]]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_splits_are_left_to_the_library(name):
+    path = public_tokenizers.path(name)
+    texts = ["Don't  stop <|endoftext|> now", "x" * 100, None, ""]
+    assert not tokens.counter(path, 1000, 200).by_words
+    assert tokens.counter(path, 1000, 200)(texts) == [[len(tokens.tokenizer(path).encode(t or "", add_special_tokens=False)) for t in texts]]
+
+
 def test_rows(docs, clashing):
     rows = [(1, "under the MIT license"), (2, None), (3, ""), (1, "again"), (None, "ß 🎉"), (2**60 + 1, "word " * 600), (7, "long text, " * 9000)]
     got = sorted(map(tuple, tokens.token_counts(docs(rows), PATH).collect()), key=str)
