@@ -59,6 +59,29 @@ def test_copies_follow_their_probability(spark):
     assert abs(first - second) < 120  # one copy in two, evenly over the ids
 
 
+def test_small_sources_are_drawn_at_random(spark):
+    """Many sources of the same 24 documents: over them, each document has its expected copies."""
+    sizes = [1, 1, 2, 3, 3, 5, 8, 8, 9, 13, 20, 21, 30, 34, 40, 55, 60, 89, 100, 120, 144, 200, 233, 300]
+    n = 400
+    rows = [(s * 100 + i, "w " * size, f"s{s:03}") for s in range(n) for i, size in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(8), weights=(1,), budget=1.3).collect()
+    mean = [0.0] * len(sizes)
+    for r in got:
+        assert r.target == pytest.approx(1.3 * sum(sizes))
+        mean[r.doc_id % 100] += r.copies / n
+    # the smallest ones settle what the others leave
+    assert all(abs(m - 1.3) < (4.5 * (0.21 / n) ** 0.5 if size > 2 else 0.15) for m, size in zip(mean, sizes)), " ".join(f"{m:.2f}" for m in mean)
+    missed = [sum(r.taken for r in got if r.doc_id // 100 == s) - 1.3 * sum(sizes) for s in range(n)]
+    assert max(map(abs, missed)) <= 150 and sum(map(abs, missed)) / n < 12
+    assert len({tuple(sorted(r.doc_id % 100 for r in got if r.doc_id // 100 == s and r.copies == 2)) for s in range(20)}) > 15
+
+
+def test_seeds_draw_differently(spark):
+    df = spark.createDataFrame([(i, "w " * (3 + i % 5), "ab"[i % 2]) for i in range(40)], SCHEMA)
+    drawn = [tuple(r.copies for r in sorted(mixing.mix(df, seed=seed, weights=(1,)).collect())) for seed in (1, 2, 3)]
+    assert len(set(drawn)) == 3 and drawn[0] == tuple(r.copies for r in sorted(mixing.mix(df, seed=1, weights=(1,)).collect()))
+
+
 def test_take_repeats_rows_whole(spark, clashing):
     rows = corpus(2, 200)
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", size int")
