@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom.llm import pii
@@ -78,7 +79,10 @@ def test_input_edges(docs, clashing):
     got = pii.replace(clashing, "k")
     assert got.columns == clashing.columns and sorted(map(str, got.collect())) == sorted(map(str, clashing.collect()))
     long = "x" * 300_000 + " a@b.cd " + "1" * 50_000
-    assert pii.replace(docs([(1, long)]), "k").first().text.startswith("x" * 300_000 + " user")
+    assert pii.replace(docs([(1, long)]), "k").first().text.startswith("x" * 300_000 + " ")
+    assert len(pii.replace(docs([(1, long)]), "k").first().text.split()[1].split("@")[0]) == 1
+    again = {r.doc_id: r.text for r in pii.replace(docs([(1, "a@b.cd Mr Xu"), (1, "a@b.cd Mr Xu"), (None, "a@b.cd")]), "k").collect()}
+    assert again[1].startswith(again[None])
 
 
 def test_cards_in_a_list_are_all_found(docs):
@@ -145,3 +149,82 @@ def test_a_match_of_any_pattern_implies_the_hint(docs):
     got = docs(rows).select("text", *[F.col("text").rlike(p).alias(p) for p in (pii.PATTERN, pii.HINT)]).collect()
     assert not [r[0] for r in got if not (r[1] and r[2])]
     assert not [r.doc_id for r in pii.replace(docs(rows), "k").collect() if r.text == rows[r.doc_id][1]]
+
+
+def test_names_agree_in_their_parts_and_keep_their_case(docs):
+    rows = [(1, "Mr Smith, Mr John Smith, JOHN x, Dr. John Weber and Mrs SMITH; Mary O'Hara"), (2, "my name is Li Na. signed by Wei Zhang, Maria Garcia; Mr Weber; Иван SMITH")]
+    got = {r.doc_id: r for r in pii.replace(docs(rows), "k", count_col="n").collect()}
+    one, two = got[1].text, got[2].text
+    assert (got[1].n, got[2].n) == (5, 5)
+    a = re.fullmatch(r"Mr (\S+), Mr (\S+) (\S+), JOHN x, Dr\. (\S+) (\S+) and Mrs (\S+); (\S+) (\S+)", one)
+    b = re.fullmatch(r"my name is (\S+) (\S+)\. signed by (\S+) (\S+), (\S+) (\S+); Mr (\S+); (\S+) (\S+)", two)
+    assert a[1] == a[3] == a[6].title() and a[6].isupper() and a[2] == a[4] and a[5] == b[7] and a[1] != a[5]
+    assert a[2] in pii.GIVEN["latin", "m"] and a[7] in pii.GIVEN["latin", "f"] and b[3] in pii.GIVEN["latin", "m"]
+    for true in ("Smith", "SMITH", "John", "Weber", "Mary", "Hara", "Li", "Na", "Wei", "Zhang", "Maria", "Garcia"):
+        assert not re.search(rf"\b{true}\b", one.replace("JOHN x", "") + two), true
+
+
+def test_email_shapes_stay(docs):
+    got = pii.replace(docs([(1, "anna-b.54_x@mail.example.com ИВАН.7@ПРИМЕР.РФ")]), "k").first().text
+    assert re.fullmatch(r"[a-z]{4}-[a-z]\.\d\d_[a-z]@d[0-9a-f]{8}\.example\.org [А-Я]{4}\.\d@D[0-9A-F]{8}\.EXAMPLE\.ORG", got), got
+
+
+def test_phone_behind_a_cue(docs):
+    got = pii.replace(docs([(1, "tel 020 7946 0958, Phone: 030 123456 and 020 7946 0958")]), "k", count_col="n").first()
+    assert got.n == 1 and re.fullmatch(r"tel 02\d \d{4} \d{4}, Phone: 030 123456 and 020 7946 0958", got.text) and "tel 020 7946 0958" not in got.text
+
+
+def test_twenty_thousand_surnames(docs):
+    letters = "abcdefghij"
+    true = ["Q" + "".join(letters[int(d)] for d in f"{i:05d}") for i in range(20_000)]
+    rows = [(i, f"Mr {name}") for i, name in enumerate(true)]
+    made = [r.text for r in pii.replace(docs(rows), "k").collect()]
+    assert len(set(made)) == 20_000 and not {m.split()[1] for m in made} & set(true)
+
+
+def test_formats_without_room_are_widened(docs):
+    """All ten local parts of one digit, and all given names of a gender, are there: each still gets its own."""
+    digits = [f"{d}@a.bc" for d in range(10)]
+    women = [f"Mrs {chr(65 + i)}{chr(97 + j)}va Xu" for i in range(20) for j in range(4)]
+    rows = list(enumerate(digits + women))
+    got = {r.doc_id: r.text for r in pii.replace(docs(rows), "k").collect()}
+    assert len(set(got.values())) == 90 and not set(got.values()) & {t for _, t in rows}
+    found = docs([(1, "x")]).selectExpr("'ip' as kind", "explode(array('1.1.1.1', '2.2.2.2', '3.3.3.3')) as canon")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pii, "_nibbles", lambda h, i, n: F.when(F.substr(h, F.lit(129)).cast("int") >= pii.WIDE, F.ascii(F.substr(h, (i + 1).cast("int"), F.lit(1)))).otherwise(F.lit(7)))
+        state = pii.attempts(found, "k").collect()
+    assert len(state) == 2 and min(r.attempt for r in state) >= pii.WIDE
+
+
+def test_planted_entities_are_found_and_nothing_else(docs):
+    """Against the places at which the entities were put."""
+    rng = random.Random(8)
+    makes = {
+        "email": lambda: f"{rng.choice(['jo', 'a.b', 'x_9'])}{rng.randrange(99)}@{rng.choice(['mail', 'ex-1'])}.{rng.choice(['com', 'co.uk'])}",
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "ssn": lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "card": lambda: rng.choice(["4{:015d}".format(rng.randrange(10**15)), "5500 0000 " + f"{rng.randrange(10**4):04d} {rng.randrange(10**4):04d}"]),
+        "phone": lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10**4):04d}",
+        "secret": lambda: "".join(rng.choices("0123456789abcdef", k=40)),
+        "iban": lambda: f"DE{rng.randrange(10, 99)} 3704 0044 0532 {rng.randrange(10**4):04d} 00",
+        "name": lambda: f"{rng.choice(['Mr', 'Frau', 'Dr.'])} {rng.choice(['Ober', 'Núñez', 'Wu'])}",
+    }
+    prose = ["the", "thing", "über", "12", "3.50", "Of", "2024-05-06", "№7", "x=1", "naïve,", "(a)", "10:30", "и"]
+    rows, held = [], {}
+    for i in range(300):
+        kinds = [rng.choice([None, None, *makes]) for _ in range(12)]
+        words = [rng.choice(prose) if k is None else makes[k]() for k in kinds]
+        rows.append((i, " | ".join(words)))
+        held[i] = kinds
+    got = {r.doc_id: r for r in pii.replace(docs(rows), "k", count_col="n").collect()}
+    of: dict = {}
+    for i, text in rows:
+        before, after = text.split(" | "), got[i].text.split(" | ")
+        assert got[i].n == sum(k is not None for k in held[i]), (text, got[i].text)
+        for k, x, y in zip(held[i], before, after, strict=True):
+            assert (x == y) == (k is None), (x, y)
+            if k:
+                assert of.setdefault((k, x), y) == y
+                if k != "email":
+                    assert re.sub(r"\w", "", x) == re.sub(r"\w", "", y)
+    assert len(set(of.values())) == len(of)
