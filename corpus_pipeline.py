@@ -13,38 +13,38 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import jaccard, langid, mixing, pii, sentencepiece
 from matchloom.llm.catalogue import PII_KEY, tokenizer_file
-from matchloom.llm.common import discard, release, table, written
+from matchloom.llm.common import discard, table, written
 from matchloom.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language the network does not tell (no letters, or a score near chance) go."""
-    release(ship(spark))
+    ship(spark)
     return langid.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five words a shingle, a similarity of 0.8."""
-    release(ship(spark))
+    ship(spark)
     return jaccard.one_of_each(docs, shingle=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates in the texts; n_chars follows."""
-    release(ship(spark))
+    ship(spark)
     out = pii.replace(docs, PII_KEY)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    release(ship(spark))
+    ship(spark)
     return mixing.take(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the SentencePiece model, with the proof that they decode to the text."""
-    release(ship(spark))
+    ship(spark)
     return sentencepiece.encode(docs, tokenizer_file("piece_bpe_32k.model"), keep=[c for c in ("lang", "source") if c in docs.columns])
 
 
@@ -66,6 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}", owned=False)
+            docs = written(docs, f"pipeline-{name}")
             discard(before)
     return docs
