@@ -36,7 +36,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, tables, written
 
 # Titles and given names by gender, which mark a name's gender and script.
 TITLES = {"m": ["Mr", "Herr", "Señor", "Monsieur", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"], "x": ["Dr", "Prof"]}
@@ -251,32 +251,29 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities that attempt 0 leaves in collision."""
-    true = written(found.select("kind", F.col("canon").alias("made")), "pii-true")
-    open_ = true.select("kind", F.col("made").alias("canon"), F.lit(0).alias("attempt"))
-    settled: list[DataFrame] = []
-    while True:
-        h = _hash(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-        tried = written(open_.withColumn("h", h).withColumn("made", surrogate(key, F.col("kind"), F.col("canon"), F.col("h"))).drop("h"), "pii-tried")
-        best = tried.groupBy("kind", "made").agg(F.min("canon").alias("canon"), F.min("attempt").alias("attempt"))
-        for taken in (true, *settled):
-            best = best.join(taken.select("kind", "made"), ["kind", "made"], "left_anti")
-        settled.append(written(best.select("kind", "canon", "attempt", "made"), "pii-settled"))
-        lost = written(tried.join(settled[-1].select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "pii-lost")
-        discard(tried)
-        if lost.isEmpty():
-            break
-        open_ = lost
-    again = functools.reduce(DataFrame.unionByName, settled[1:]) if settled[1:] else settled[0].limit(0)
-    again = written(again.select("kind", "canon", "attempt"), "pii-exceptions")
-    discard(true, *settled)
-    return again
+    with tables() as keep:
+        true = written(found.select("kind", F.col("canon").alias("made")), "pii-true")
+        open_ = true.select("kind", F.col("made").alias("canon"), F.lit(0).alias("attempt"))
+        settled: list[DataFrame] = []
+        while True:
+            h = _hash(key, F.col("kind"), F.col("canon"), F.col("attempt"))
+            tried = written(open_.withColumn("h", h).withColumn("made", surrogate(key, F.col("kind"), F.col("canon"), F.col("h"))).drop("h"), "pii-tried")
+            best = tried.groupBy("kind", "made").agg(F.min("canon").alias("canon"), F.min("attempt").alias("attempt"))
+            for taken in (true, *settled):
+                best = best.join(taken.select("kind", "made"), ["kind", "made"], "left_anti")
+            settled.append(written(best.select("kind", "canon", "attempt", "made"), "pii-settled"))
+            lost = written(tried.join(settled[-1].select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "pii-lost")
+            discard(tried)
+            if lost.isEmpty():
+                break
+            open_ = lost
+        again = functools.reduce(DataFrame.unionByName, settled[1:]) if settled[1:] else settled[0].limit(0)
+        return keep(written(again.select("kind", "canon", "attempt"), "pii-exceptions"))
 
 
 def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col``, all columns kept; ``count_col``: also the number of mentions."""
-    found = written(entities(docs, text_col).select("kind", "canon"), "pii-entities")
-    exceptions = attempts(found, key)
-    discard(found)
+    exceptions = attempts(entities(docs, text_col), key)
     text = F.col(text_col)
     rows = docs.withColumn("__mentions", _mentions(text))
     # one step an array, so that no expression holds another one twice

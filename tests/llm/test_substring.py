@@ -39,6 +39,55 @@ def test_as_brute_force(docs, seed, full):
     assert sorted(map(tuple, got.drop("edges").collect()), key=str) == brute(rows, 12)
 
 
+def test_subtrees_give_maximal_repeats():
+    """Nodes and repeats of one group, against all pairs of suffixes."""
+    rng = random.Random(3)
+    for _ in range(40):
+        words = [b"a", b"b", b"ab", b"a\x01", b"\x00", b"b\x08"][: rng.choice([2, 4, 6])]
+        members = [(rng.randrange(4), b" ".join(rng.choices(words, k=rng.randrange(4, 16))), 0, 99) for _ in range(rng.randrange(2, 9))]
+        split = [(o, w.split(b" ")) for o, w, _, _ in members]
+        got = substring.deep_repeats(members, 4)
+        for m, (o, ws) in enumerate(split):
+            want = {}
+            for s in range(len(ws) - 3):
+                best = 0
+                for o2, other in split:
+                    for t in range(len(other) - 3) if o2 != o else ():
+                        d = 0
+                        while s + d < len(ws) and t + d < len(other) and ws[s + d] == other[t + d]:
+                            d += 1
+                        best = max(best, d)
+                if best >= 4:
+                    want[s] = best
+            maximal = [(s, d) for s, d in want.items() if want.get(s - 1, 0) < d + 1]
+            assert got.get(m, []) == maximal
+
+
+def test_nodes_of_a_tree():
+    assert sorted(substring.nodes([2, 3, 3, 1, 4])) == [(1, 0, 5), (2, 0, 3), (3, 1, 3), (4, 4, 5)]
+    assert substring.nodes([]) == [] and substring.nodes([5, 5]) == [(5, 0, 2)]
+    assert substring.common_words(b"a\0bc", b"a\0b") == 1 and substring.common_words(b"a\0b", b"a\0b\0c") == 2 and substring.common_words(b"a", b"b") == 0
+
+
+def test_one_very_hot_passage(docs):
+    """A passage of most texts, at different places and with different neighbours, split by longer prefixes."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(50)]
+    passage = [f"p{i}" for i in range(14)]
+    rows = []
+    for i in range(150):
+        cut = passage[rng.randrange(0, 3) : 14 - rng.randrange(0, 3)]
+        rows.append((i, " ".join([*rng.choices(words, k=rng.randrange(0, 9)), *cut, *rng.choices(words, k=rng.randrange(0, 9))])))
+    want = brute(rows, 10)
+    for full in (1000, 40, 7, 0):
+        assert sorted(map(tuple, substring.repeats(docs(rows), window=10, prefix=3, full=full).drop("edges").collect()), key=str) == want
+
+
+def test_control_characters_in_words(docs):
+    rows = [(1, "a b c ab x y"), (2, "a b c ab\x01 z"), (3, "q a b c ab"), (4, "a b c ab\x00"), (5, "k a b c ab\x01 z")]
+    assert sorted(map(tuple, substring.repeats(docs(rows), window=4, prefix=2).drop("edges").collect()), key=str) == brute(rows, 4)
+
+
 def test_production_window_and_long_text(docs):
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(35))
