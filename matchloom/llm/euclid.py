@@ -12,14 +12,22 @@ of blocks are compared by different tasks.  No pairs leave a task: each vector
 leaves its number of links, and an edge to the least member of its component
 within the block.
 
-Equal vectors are one class first; a class counts as often as it has members.
-Vectors that are null, empty, zero, or hold null or non-finite components link
-with nothing; vectors of different length have no cosine.  Such rows have no
-links and are their own component.  An empty table gives an empty result.
+Buckets are found by their keys alone; a vector, as it is stored, is fetched
+only for the blocks of buckets that hold another one.
+
+Vectors of equal direction are one class first (by a 128-bit digest); a class
+counts as often as it has members.  Vectors that are null, empty, zero, or hold
+null or non-finite components link with nothing; vectors of different length
+have no cosine.  Such rows have no links and are their own component.  Rows with
+a null id count as links of others and have links; they name no component, and
+where no row of theirs has an id, the component is null.  Repeated ids and rows
+are vectors of their own.  Texts and other columns take no part.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -27,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import groups, rowwise, written
+from .common import groups, rowwise, tables, written
 from .components import components
 
-WIDTH = 1.2
+WIDTH = 2.0
 BLOCK = 1024
 #: Vectors that unrelated ones may put into one bucket, about.
 FILL = 256
@@ -62,9 +70,15 @@ def _keys(unit: np.ndarray, k: int, tables: int, seed: int) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    # scaled, so that squares neither overflow nor vanish
+    vectors = vectors / np.abs(vectors).max(axis=1)[:, None]
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
+def _stack(raws, kind: str) -> np.ndarray:
+    return np.stack([np.frombuffer(x, kind) for x in raws]).astype(np.float64)
+
+
 def _local_roots(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
     """Least member of each of m nodes' component under the links (i, j)."""
     root = np.arange(m)
@@ -79,7 +93,7 @@ def _local_roots(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
         root = new
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Links within one block, or between two."""
 
     def run(batches):
@@ -87,9 +101,9 @@ def _compare(threshold: float):
 
         for g in groups(batches, ["dims", "tab", "key", "i", "j"]):
             tab, bi, bj = (g.column(c)[0].as_py() for c in ("tab", "i", "j"))
-            g = g.sort_by("id").combine_chunks()
-            ids, mult = g.column("id").to_numpy(), g.column("mult").to_numpy().astype(np.float64)
-            unit = _unit(np.stack([np.frombuffer(x.as_py(), np.float64) for x in g.column("v")]))
+            g = g.sort_by("node").combine_chunks()
+            ids, mult = g.column("node").to_numpy(), g.column("mult").to_numpy().astype(np.float64)
+            unit = _unit(_stack(g.column("raw").to_pylist(), kind))
             keys = np.stack([np.frombuffer(x.as_py(), np.int64) for x in g.column("keys")])
             side = g.column("blk").to_numpy()
             if bi == bj:
@@ -116,59 +130,70 @@ def _compare(threshold: float):
                 i, j = np.concatenate(li), np.concatenate(lj)
                 root = _local_roots(i, j, len(ids))
                 held = np.unique(np.concatenate([i, j]))
-                yield pa.RecordBatch.from_pydict({"id": ids[held], "links": links[held].astype(np.int64), "root": ids[root[held]]})
+                yield pa.RecordBatch.from_pydict({"node": ids[held], "links": links[held].astype(np.int64), "root": ids[root[held]]})
 
     return run
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """Rows (vec_id, v): the raw double vector, null where there is no cosine."""
+def _read(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (vec_id, raw, d1, d2): the vector's bytes and the digest of its direction, null where there is no cosine."""
 
     def fn(vectors):
-        out = []
+        out: list[list] = [[], [], []]
         for x in vectors:
             a = None if not x else np.array([np.nan if c is None else c for c in x], np.float64)
-            good = a is not None and np.isfinite(a).all() and np.any(a)
-            # scaled, so that squares neither overflow nor vanish
-            out.append((a / np.abs(a).max() + 0.0).tobytes() if good else None)
-        return [out]
+            if a is not None and np.isfinite(a).all() and np.any(a):
+                d = np.frombuffer(hashlib.blake2b((a / np.abs(a).max() + 0.0).tobytes(), digest_size=16).digest(), np.int64)
+                new = a.astype(kind).tobytes(), int(d[0]), int(d[1])
+            else:
+                new = None, None, None
+            for column, value in zip(out, new):
+                column.append(value)
+        return out
 
-    return rowwise(rows, ["embedding"], lambda: fn, "v binary")
+    return rowwise(rows, ["embedding"], lambda: fn, "raw binary, d1 long, d2 long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, recall: float = 0.98, seed: int = 11) -> DataFrame:
     """Per row: the id, ``n_links``, ``component_id`` and ``kept``."""
     ship(vectors.sparkSession)
-    rows = written(_classes(vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))), "vectors")
-    classes = written(rows.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult")), "vector-classes")
-    k, tables = plan(classes.count(), threshold, recall)
-
-    def hashed(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            raw = [np.frombuffer(v, np.float64) for v in pdf["v"]]
-            keys = np.empty((len(raw), tables), np.int64)
-            by: dict[int, list[int]] = {}
-            for n, a in enumerate(raw):
-                by.setdefault(len(a), []).append(n)
-            for at in by.values():
-                keys[at] = _keys(_unit(np.stack([raw[n] for n in at])), k, tables, seed)
-            yield pd.DataFrame({"id": pdf["id"], "mult": pdf["mult"], "v": pdf["v"], "each": list(keys), "keys": [x.tobytes() for x in keys]})
-
-    kind = classes.schema["id"].dataType.simpleString()
-    index = classes.mapInPandas(hashed, f"id {kind}, mult long, v binary, each array<long>, keys binary")
-    places = index.select(F.octet_length("v").alias("dims"), "id", "mult", "v", "keys", F.posexplode("each").alias("tab", "key"))
-    sizes = places.groupBy("dims", "tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = places.join(sizes, ["dims", "tab", "key"]).withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("dims", "tab", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "id", "mult", "v", "keys")
-    cut = dealt.repartition("dims", "tab", "key", "i", "j").sortWithinPartitions("dims", "tab", "key", "i", "j")
-    found = written(cut.mapInArrow(_compare(threshold), f"id {kind}, links long, root {kind}"), "vector-links")
-
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    comps = components(found, "id", "root")
-    per_class = classes.select("v", "id", "mult").join(links, "id", "left").join(comps, "id", "left").select("v", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
-    out = rows.join(per_class, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kind = "<f4" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "<f8"
+    with tables() as keep:
+        rows = written(_read(vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding")), kind), "vectors")
+        classes = rows.where("raw is not null").groupBy("d1", "d2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.min("raw").alias("raw"))
+        classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+        k, n_tables = plan(classes.count(), threshold, recall)
+
+        def hashed(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                raw = list(pdf["raw"])
+                keys = np.empty((len(raw), n_tables), np.int64)
+                by: dict[int, list[int]] = {}
+                for n, x in enumerate(raw):
+                    by.setdefault(len(x), []).append(n)
+                for at in by.values():
+                    keys[at] = _keys(_unit(_stack([raw[n] for n in at], kind)), k, n_tables, seed)
+                yield pd.DataFrame({"node": pdf["node"], "dims": [len(x) for x in raw], "each": list(keys), "keys": [x.tobytes() for x in keys]})
+
+        index = written(classes.select("node", "raw").mapInPandas(hashed, "node long, dims int, each array<long>, keys binary"), "vector-keys")
+        places = index.select("node", "dims", F.posexplode("each").alias("tab", "key"))
+        sizes = places.groupBy("dims", "tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = places.join(sizes, ["dims", "tab", "key"]).withColumn("blocks", blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("dims", "tab", "key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node")
+        members = classes.select("node", "mult", "raw").join(index.select("node", "keys"), "node")
+        cut = dealt.join(members, "node").repartition("dims", "tab", "key", "i", "j").sortWithinPartitions("dims", "tab", "key", "i", "j")
+        found = written(cut.mapInArrow(_compare(threshold, kind), "node long, links long, root long"), "vector-links")
+
+        links = found.groupBy("node").agg(F.sum("links").alias("links"))
+        comps = components(found, "node", "root").withColumnRenamed("id", "node")
+        per_class = classes.select("d1", "d2", "node", "id", "mult").join(links, "node", "left").join(comps, "node", "left")
+        per_class = written(per_class.select("d1", "d2", "id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links")), "vector-components")
+        least = per_class.groupBy("component").agg(F.min("id").alias("component_id"))
+        named = per_class.join(least, "component").select("d1", "d2", "links", "component_id", F.lit(True).alias("known"))
+        out = rows.select("vec_id", "d1", "d2").join(named, ["d1", "d2"], "left")
+        component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id"))
+        return keep(written(out.select(F.col("vec_id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")), "vector-duplicates"))

@@ -41,3 +41,24 @@ def test_vectors_without_a_cosine(spark):
     alone = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9)] + [(None, 0, None, True)]
     assert got == sorted(alone + [(7, 3, 7, True), (7, 3, 7, True), (8, 3, 7, False), (10, 3, 7, False)], key=str)
     assert euclid.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_vectors_too(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (None, [1.0, 2.0]), (None, [1.0, 2.01]), (None, [-3.0, 1.0]), (None, [-3.0, 1.01]), (None, [7.0, -1.0]), (5, [0.0, 0.0])]
+    got = euclid.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = [(1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (None, 3, 1, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (5, 0, 5, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_recall_on_the_tables(spark):
+    """Against brute force on whole tables, with the plan that their size gives."""
+    import duckdb
+
+    for sf in ("sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}/embeddings.parquet"
+        ids, base = zip(*duckdb.sql(f"SELECT vec_id, embedding FROM '{path}' ORDER BY vec_id").fetchall())
+        _, counts, root = brute(np.array(base, np.float64))
+        got = euclid.near_duplicates(spark.read.parquet(path)).toPandas().sort_values("vec_id")
+        assert got.vec_id.tolist() == list(ids)
+        assert (got.n_links.to_numpy() <= counts).all() and got.n_links.sum() >= 0.98 * counts.sum()
+        assert (got.component_id.to_numpy() == np.array(ids)[root]).mean() > 0.99
