@@ -19,7 +19,7 @@ document's connected component under the links.
    elements (``strong_size``), which unrelated sets may share, are left out; there are some parts
    more to make up for them, and a set that has more weak parts than there are
    to spare is dealt again with another salt, so an equal strong part is sure.
-3. In a region every true link is found by pivots.  ``PIVOTS`` points are drawn,
+3. In a region every link is found by pivots.  Up to ``PIVOTS`` points are drawn,
    all distances to them are exact, and each point goes to the Voronoi cell of
    its nearest pivot; a point x also goes to each cell q with
    d(x, q) <= d(x, p) + 2 r, the window in which the triangle inequality allows
@@ -27,8 +27,12 @@ document's connected component under the links.
    component already, and of them only those with d >= (least distance of a
    point that is not linked) - r can link to any other: the rest leave, with the
    pivots.  A cell whose points are all linked to its pivot is done.  Cells
-   join again as regions, until they fit a task, where the same steps run on
-   arrays; cells that rounds do not thin out are cut into pairs of blocks.
+   join again as regions: in a task, on arrays, where a region of up to ``CELL``
+   points fits, and else as tables, until they fit.  A cell that its pivots do
+   not thin out (all points as far from them as from each other) is joined
+   without its pivots: in a task only points whose distances to all pivots differ
+   by at most r are compared further; as tables, such a region is cut into pairs
+   of blocks that fit a task.  Either way is exact.
 4. In crowded regions lonely points are looked for again, by all elements.
 
 Lower case is made of A-Z only; words are runs of anything but space and the
@@ -36,7 +40,9 @@ control blanks 9 to 13.  A text of one word up to ``SHINGLE - 1`` is one
 shingle; null texts and texts without words have the empty set, link with
 nothing and are their own component.  Shingles are compared by 64-bit hashes.
 Rows with equal ids are separate documents, but a component is named by the
-least id.
+least id; repeated rows are one point.  Texts of any length are read whole.  Of
+points that tie for a cell, the pivot drawn first takes them, and by the window
+they go to all cells that tie.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,14 +55,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import discard, groups, rowwise, written
+from .common import MANY, groups, join_counted, rowwise, tables, written
 from .components import components
 from .substring import _BLANK, _BYTE_BASE, _U, _WORD_BASE, _batches, _mix, _ranges, _raw
 
 SHINGLE, PERCENT = 3, 90
 #: Upper bound of a level's sizes by its lower bound.
 LEVEL_RATIO = 1.5
-PIVOTS, ROUNDS = 8, 3
+PIVOTS = 8
+#: A round thins a region if its cells hold less than this share of its points.
+THINNED = 0.9
 #: Points and elements of a region that one task joins, and of a block beyond.
 CELL, CELL_ELEMENTS, BLOCK = 128, 2_000_000, 128
 #: Regions from so many points on lose their lonely points first.
@@ -203,8 +211,19 @@ def _sets(k: int):
     return run
 
 
-def join_cell(sets: list[np.ndarray], percent: int = PERCENT, side: np.ndarray | None = None) -> np.ndarray:
-    """Least member of each set's component under the links of a cell; with ``side``, links across sides only."""
+def _distances(ids, offsets, sizes, active, p, mark) -> tuple[np.ndarray, np.ndarray]:
+    """Intersections and unions of the active sets with set p."""
+    flat = np.concatenate([ids[offsets[x] : offsets[x] + sizes[x]] for x in active])
+    off = np.cumsum(sizes[active]) - sizes[active]
+    own = ids[offsets[p] : offsets[p] + sizes[p]]
+    mark[own] = True
+    inter = np.add.reduceat(mark[flat], off, dtype=np.int64)
+    mark[own] = False
+    return inter, sizes[active] + sizes[p] - inter
+
+
+def join_cell(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS) -> np.ndarray:
+    """Least member of each set's component under the links of a region, by pivots, Voronoi cells and windows, recursively."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -213,37 +232,52 @@ def join_cell(sets: list[np.ndarray], percent: int = PERCENT, side: np.ndarray |
     # lonely points first
     lonely = np.bincount(ids) == 1
     alone = np.add.reduceat(lonely[ids], offsets)
-    active = np.flatnonzero(100 * (sizes - alone) >= percent * sizes)
     mark = np.zeros(len(lonely), bool)
     r = 1 - percent / 100
-    while len(active) > 1 and len(np.unique(root[active])) > 1:
-        flat = np.concatenate([ids[offsets[x] : offsets[x] + sizes[x]] for x in active])
-        off = np.cumsum(sizes[active]) - sizes[active]
-        # a pivot that still differs from the others: of the smallest component
+    cells = [np.flatnonzero(100 * (sizes - alone) >= percent * sizes)]
+    while cells:
+        active = cells.pop()
         labels, counts = np.unique(root[active], return_counts=True)
-        p = active[np.flatnonzero(root[active] == labels[counts.argmin()])[0]]
-        own = ids[offsets[p] : offsets[p] + sizes[p]]
-        mark[own] = True
-        inter = np.add.reduceat(mark[flat], off, dtype=np.int64)
-        mark[own] = False
-        union = sizes[active] + sizes[p] - inter
-        linked = 100 * inter >= percent * union
-        joined = linked if side is None else linked & ((side[active] != side[p]) | (active == p))
-        labels = np.unique(root[active[joined]])  # the pivot's own among them
-        root[np.isin(root, labels)] = labels[0]
-        distance = 1 - inter / union
-        if side is None:
-            rest = distance[~linked]
-            keep = ~linked | (distance >= (rest.min() if len(rest) else 2) - r - 1e-9)
-        else:
-            keep = np.ones(len(active), bool)
-        keep &= active != p
-        active = active[keep]
+        if len(labels) < 2:
+            continue
+        # the first pivot is of the smallest component, each other one the farthest from those before it
+        place = int(np.flatnonzero(root[active] == labels[counts.argmin()])[0])
+        drawn, d, linked = [], [], []
+        for _ in range(min(pivots, 1 + len(active) // 8)):
+            p = active[place]
+            inter, union = _distances(ids, offsets, sizes, active, p, mark)
+            drawn.append(place)
+            d.append(1 - inter / union)
+            linked.append(100 * inter >= percent * union)
+            joined = np.unique(root[active[linked[-1]]])  # the pivot's own among them
+            root[np.isin(root, joined)] = joined[0]
+            nearest = np.min(d, axis=0)
+            nearest[drawn] = -1
+            place = int(nearest.argmax())
+        d, linked = np.array(d), np.array(linked)
+        rest = np.ones(len(active), bool)
+        rest[drawn] = False
+        new = []
+        for q in range(len(drawn)):
+            cell = rest & (d[q] <= d.min(axis=0) + 2 * r + 1e-9)
+            far = d[q][cell & ~linked[q]]
+            # points linked to the pivot stay where they can reach one that is not
+            cell &= ~linked[q] | (d[q] >= (far.min() if len(far) else 2) - r - 1e-9)
+            if np.count_nonzero(cell) > 1:
+                new.append(active[cell])
+        if len(new) > 1 and sum(map(len, new)) > THINNED * np.count_nonzero(rest):
+            # no thinner: one cell, of the points that their distances to all pivots leave a partner in another component
+            x, own = d[:, rest], root[active[rest]]
+            near = own[:, None] != own[None, :]
+            for k in range(len(x)):
+                near &= np.abs(x[k][:, None] - x[k][None, :]) <= r + 1e-9
+            new = [active[rest][near.any(axis=1)]]
+        cells += [c for c in new if len(c) > 1]
     return root
 
 
 def _join_cells(percent: int):
-    """Star edges of the components of each cell, or of each pair of blocks."""
+    """Star edges of the components of each region, or of each pair of blocks."""
 
     def run(batches):
         import pyarrow as pa
@@ -257,8 +291,7 @@ def _join_cells(percent: int):
             column = g.column("elements").combine_chunks()
             flat, cut = column.flatten().to_numpy(), column.offsets.to_numpy()
             sets = [flat[a - cut[0] : b - cut[0]] for a, b in zip(cut, cut[1:])]
-            i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
-            root = join_cell(sets, percent, None if i == j else g.column("blk").to_numpy())
+            root = join_cell(sets, percent)
             held = np.flatnonzero(root != np.arange(len(root)))
             if len(held):
                 yield pa.RecordBatch.from_pydict({"a": nodes[held], "b": nodes[root[held]]})
@@ -274,7 +307,7 @@ def _cells(rows: DataFrame, percent: int, blocks=None) -> DataFrame:
         dealt = dealt.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     else:
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
-    dealt = dealt.select("region", "i", "j", "blk", "node", "elements")
+    dealt = dealt.select("region", "i", "j", "node", "elements")
     keys = ["region"] if one else ["region", "i", "j"]
     return dealt.repartition(*keys).sortWithinPartitions("region", "i", "j").mapInArrow(_join_cells(percent), "a long, b long")
 
@@ -288,7 +321,7 @@ def _without_lonely(points: DataFrame, percent: int) -> DataFrame:
 
 
 def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges to the pivots of each region, (cell, node) of the cells that must join again, and the regions without their pivots."""
+    """Edges to the pivots of each region, (region, cell, node) of the cells that must join again, and the regions without their pivots."""
     r = 1 - percent / 100
     slot = F.pmod(F.xxhash64(F.lit(number), "node"), F.lit(PIVOTS))
     drawn = regions.groupBy("region", slot.alias("slot")).agg(F.max_by(F.struct("node", "n", "elements"), F.xxhash64("node", F.lit(number))).alias("pivot"))
@@ -299,7 +332,10 @@ def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, Da
         union = F.col("n") + p["n"] - inter
         return F.struct(p["node"].alias("pivot"), (1 - inter / union).alias("d"), (100 * inter >= percent * union).alias("linked"))
 
-    seen = regions.join(pivots, "region").withColumn("ds", F.transform("pivots", measured)).drop("pivots")
+    # a large region's points meet its pivots in parts of MANY
+    deals = F.ceil(F.col("m") / MANY).cast("int")
+    pivots = pivots.join(regions.select("region", "m").distinct(), "region").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("m")
+    seen = regions.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int")).join(pivots, ["region", "deal"]).withColumn("ds", F.transform("pivots", measured)).drop("pivots", "deal", "m")
     seen = written(seen, "jaccard-round")
     edges = seen.select("node", F.explode("ds").alias("e")).where("e.linked and e.pivot != node").select(F.col("node").alias("a"), F.col("e.pivot").alias("b"))
     nearest = F.array_min(F.transform("ds", lambda e: e["d"]))
@@ -307,82 +343,98 @@ def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, Da
     near = F.filter("ds", lambda e: e["d"] <= nearest + 2 * r + 1e-9)
     seen = seen.where(~is_pivot).withColumn("near", near)
     cells = seen.select("region", F.explode("near").alias("e")).select(F.xxhash64("region", "e.pivot").alias("cell"), "e.d", "e.linked")
-    open_ = written(cells.groupBy("cell").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least")).where("least is not null"), "jaccard-open")
-    rows = seen.select("region", "node", F.explode("near").alias("e")).select(F.xxhash64("region", "e.pivot").alias("cell"), "node", "e.d", "e.linked")
-    again = rows.join(open_, "cell").where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9)).select("cell", "node")
+    open_ = written(cells.groupBy("cell").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least"), F.count(F.lit(1)).alias("held")).where("least is not null"), "jaccard-open")
+    rows = seen.select("region", "node", F.explode("near").alias("e")).select("region", F.xxhash64("region", "e.pivot").alias("cell"), "node", "e.d", "e.linked")
+    again = join_counted(rows, open_, "cell", "held", open_.agg(F.sum("held")).first()[0] or 0).where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9)).select("region", "cell", "node")
     return edges, again, seen.select("region", "node", "n", "elements")
 
 
-def links(points: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) that connect what links, of points (region, node, n, elements)."""
+def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None) -> DataFrame:
+    """Edges (a, b) that connect what links, of points (region, node, n, elements).
+
+    ``figures``: takes the points that each way joined (in a task, in rounds over
+    tables, in blocks).
+    """
+    figures = {} if figures is None else figures
+    figures |= {"task": 0, "rounds": 0, "blocks": 0}
     sized = lambda rows: rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
-    first = sized(points).where("m > 1")
-    points = points.join(first.select("region", (F.col("m") >= CROWD).alias("crowd")), "region")
-    regions = written(_without_lonely(points, percent).select("region", "node", "n", "elements"), "jaccard-regions")
-    found = []
-    thinned = True
-    for number in range(ROUNDS + 1):
-        sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
-        large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
-        found.append(_cells(regions.join(sizes.where(~large).select("region"), "region", "left_semi"), percent))
-        if sizes.where(large).isEmpty():
-            break
-        regions = regions.join(sizes.where(large), "region")
-        if number == ROUNDS or not thinned:
-            blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(2 * F.col("e") / CELL_ELEMENTS)).cast("int")
-            found.append(_cells(regions, percent, blocks))
-            break
-        edges, again, rest = _round(regions.drop("m", "e"), percent, number)
-        found.append(edges)
-        again = written(again, "jaccard-again")
-        # cells that hold more than the regions they came from are no progress: the regions stay, without their pivots
-        thinned = again.count() <= rest.count()
-        regions = written(rest.drop("region").join(again.withColumnRenamed("cell", "region"), "node").select("region", "node", "n", "elements") if thinned else rest, "jaccard-regions")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, text_hash: str | None = None, key: str | None = None) -> DataFrame:
+    total = lambda rows, way: figures.__setitem__(way, figures[way] + (rows.agg(F.sum("m")).first()[0] or 0))
+    with tables() as keep:
+        first = sized(points).where("m > 1")
+        points = points.join(first.select("region", (F.col("m") >= CROWD).alias("crowd")), "region")
+        regions = written(_without_lonely(points, percent).select("region", "node", "n", "elements"), "jaccard-regions")
+        found = []
+        number = 0
+        while True:
+            sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
+            large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
+            found.append(_cells(regions.join(sizes.where(~large).select("region"), "region"), percent))
+            total(sizes.where(~large), "task")
+            if sizes.where(large).isEmpty():
+                break
+            total(sizes.where(large), "rounds")
+            n_points = sizes.agg(F.sum("m")).first()[0] or 0
+            regions = join_counted(regions, sizes.where(large).select("region", "m"), "region", "m", n_points)
+            edges, again, rest = _round(regions, percent, number)
+            found.append(edges)
+            again = written(again, "jaccard-again")
+            # regions whose cells hold nearly all they had or more stay, without their pivots, in blocks
+            before = sized(rest)
+            after = again.groupBy("region").agg(F.count(F.lit(1)).alias("held"))
+            state = written(before.join(after, "region").withColumn("stuck", F.col("held") > THINNED * F.col("m")), "jaccard-state")
+            stuck = state.where("stuck")
+            if not stuck.isEmpty():
+                total(stuck, "blocks")
+                blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(2 * F.col("e") / CELL_ELEMENTS)).cast("int")
+                found.append(_cells(rest.join(stuck.select("region", "m", "e"), "region"), percent, blocks))
+            again = again.join(state.where("not stuck").select("region"), "region", "left_semi").select("cell", "node").withColumnRenamed("cell", "region")
+            regions = written(rest.drop("region").join(again, "node").select("region", "node", "n", "elements"), "jaccard-regions")
+            number += 1
+        return keep(written(functools.reduce(DataFrame.unionByName, found), "jaccard-edges"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, text_hash: str | None = None, key: str | None = None, figures: dict | None = None) -> DataFrame:
     """Per row: the id, ``n_shingles`` and ``component_id`` (the least id reachable by links, its own included).
 
     ``text_hash``: a further column of that name, the text's xxhash64.  ``key``:
-    one that is unique for a component, also where ids repeat.
+    one that is unique for a component, also where ids repeat.  ``figures``: see
+    ``links``.
     """
     if not 50 < percent < 100:
         raise ValueError("percent must lie between 50 and 100")
     ship(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
-    share = min(1.0, SAMPLE * (100 - percent) / 100)
-    survey = rowwise(source, ["text"], _survey(shingle, share), "n long, t1 long, t2 long, few array<int>")
-    survey = written(survey.withColumn("sid", F.monotonically_increasing_id()), "jaccard-survey")
-    classes = survey.where("n > 0").groupBy("t1", "t2", "n").agg(F.min("sid").alias("rep"), F.min("id").alias("least"))
-
-    elements = survey.select("sid", F.explode("few").alias("e"))
-    lonely = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("sid")).where("c = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
-    reps = classes.select(F.col("rep").alias("sid")).join(survey.select("sid", "id", "x", "n"), "sid").join(lonely, "sid", "left")
-    reps = reps.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
-    same_row = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("x") == F.col("s_x"))
-    texts = source.select(F.col("id").alias("s_id"), F.col("x").alias("s_x"), "text").join(reps, same_row).select(F.col("sid").alias("node"), "text")
-    texts = written(texts, "jaccard-texts")
-
-    parts = texts.mapInPandas(_parts(shingle, percent), "node long, parts array<long>").select("node", F.explode("parts").alias("part"))
-    parts = written(parts, "jaccard-parts")
-    shared = parts.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("part", "a")
-    regions = components(parts.join(shared, "part").where("node != a").select("node", "a").distinct(), "node", "a")
-    discard(parts)
-    points = texts.join(regions.select(F.col("id").alias("node"), F.col("component").alias("region")), "node")
-    points = points.mapInPandas(_sets(shingle), "region long, node long, n long, elements array<long>")
-    points = written(points, "jaccard-points")
-    joined = components(links(points, percent))
-
-    named = classes.select("t1", "t2", "n", "rep", "least").join(joined, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
-    named = written(named, "jaccard-classes")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("t1", "t2", "n", "component", "component_id")
-    out = survey.select("sid", "id", "x", "n", "t1", "t2").join(named, ["t1", "t2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.col("x").alias(text_hash)] if text_hash else []), *([F.coalesce("component", "sid").alias(key)] if key else []))
+    with tables() as keep:
+        source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
+        share = min(1.0, SAMPLE * (100 - percent) / 100)
+        survey = rowwise(source, ["text"], _survey(shingle, share), "n long, t1 long, t2 long, few array<int>")
+        survey = written(survey.withColumn("sid", F.monotonically_increasing_id()), "jaccard-survey")
+        classes = survey.where("n > 0").groupBy("t1", "t2", "n").agg(F.min("sid").alias("rep"), F.min("id").alias("least"))
+
+        elements = survey.select("sid", F.explode("few").alias("e"))
+        lonely = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("sid")).where("c = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("alone"))
+        reps = classes.select(F.col("rep").alias("sid")).join(survey.select("sid", "id", "x", "n"), "sid").join(lonely, "sid", "left")
+        reps = reps.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+        same_row = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("x") == F.col("s_x"))
+        texts = source.select(F.col("id").alias("s_id"), F.col("x").alias("s_x"), "text").join(reps, same_row).select(F.col("sid").alias("node"), "text")
+        texts = written(texts, "jaccard-texts")
+
+        parts = texts.mapInPandas(_parts(shingle, percent), "node long, parts array<long>").select("node", F.explode("parts").alias("part"))
+        parts = written(parts, "jaccard-parts")
+        shared = parts.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows")).where("a != b").select("part", "a", "rows")
+        shared = written(shared, "jaccard-shared")
+        regions = components(join_counted(parts, shared, "part", "rows", parts.count()).where("node != a").select("node", "a").distinct(), "node", "a")
+        points = texts.join(regions.select(F.col("id").alias("node"), F.col("component").alias("region")), "node")
+        points = points.mapInPandas(_sets(shingle), "region long, node long, n long, elements array<long>")
+        points = written(points, "jaccard-points")
+        joined = components(links(points, percent, figures))
+
+        named = classes.select("t1", "t2", "n", "rep", "least").join(joined, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
+        named = written(named, "jaccard-classes")
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = named.join(least, "component").select("t1", "t2", "n", "component", "component_id")
+        out = survey.select("sid", "id", "x", "n", "t1", "t2").join(named, ["t1", "t2", "n"], "left")
+        out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *([F.col("x").alias(text_hash)] if text_hash else []), *([F.coalesce("component", "sid").alias(key)] if key else []))
+        return keep(written(out, "jaccard"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -390,13 +442,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     All columns are kept.  Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, text_hash="x", key="__key", **settings)
-    best = found.where(F.col(id_col).isNotNull()).groupBy("__key").agg(F.min(F.struct(F.col(id_col).alias("id"), "x")).alias("best"), F.count(F.lit(1)).alias("rows"))
-    best = written(best.select(F.col("best.id").alias("__id"), F.col("best.x").alias("__x"), "rows"), "jaccard-kept")
-    hashed = docs.withColumn("__h", F.xxhash64(text_col))
-    kept = hashed.where(F.col(id_col).isNotNull()).join(best.select("__id", "__x"), (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__x")), "left_semi")
-    # rows that are repeated as they are: one of them
-    repeated = found.groupBy(id_col, "x").count().where("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([id_col, "__h"])
-    return kept.drop("__h").unionByName(docs.where(F.col(id_col).isNull()))
+    with tables() as keep:
+        found = near_duplicates(docs, id_col, text_col, text_hash="x", key="__key", **settings)
+        best = found.where(F.col(id_col).isNotNull()).groupBy("__key").agg(F.min(F.struct(F.col(id_col).alias("id"), "x")).alias("best"), F.count(F.lit(1)).alias("rows"))
+        best = written(best.select(F.col("best.id").alias("__id"), F.col("best.x").alias("__x"), "rows"), "jaccard-kept")
+        hashed = docs.withColumn("__h", F.xxhash64(text_col))
+        kept = hashed.where(F.col(id_col).isNotNull()).join(best.select("__id", "__x"), (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__x")), "left_semi")
+        # rows that are repeated as they are: one of them
+        repeated = found.groupBy(id_col, "x").count().where("count > 1")
+        if not repeated.isEmpty():
+            kept = kept.dropDuplicates([id_col, "__h"])
+        keep(best)
+        return kept.drop("__h").unionByName(docs.where(F.col(id_col).isNull()))

@@ -54,16 +54,29 @@ def test_as_brute_force(docs, seed, k, percent):
     assert sorted(map(tuple, got.collect())) == brute(rows, k, percent)
 
 
-@pytest.mark.parametrize("settings", [{"CELL": 2, "CROWD": 2}, {"CELL": 2, "ROUNDS": 0, "BLOCK": 3, "CROWD": 1000}])
+@pytest.mark.parametrize("settings", [{"CELL": 2, "CROWD": 2}, {"CELL": 2, "THINNED": -1.0, "BLOCK": 3, "CROWD": 1000}, {"CELL": 12, "PIVOTS": 3}])
 def test_hot_regions_join_in_rounds_and_in_blocks(docs, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
-    rows = near_copies(7, families=3, copies=25, rate=0.02)
-    assert sorted(map(tuple, jaccard.near_duplicates(docs(rows)).collect())) == brute(rows, 3, 90)
+    rows = near_copies(7, families=3, copies=25, rate=0.02) + [(900, "long " * 3 + " ".join(f"v{i % 999}" for i in range(30_000))), (901, "long " * 3 + " ".join(f"v{i % 999}" for i in range(29_990)))]
+    figures = {}
+    assert sorted(map(tuple, jaccard.near_duplicates(docs(rows), figures=figures).collect())) == brute(rows, 3, 90)
+    assert figures["rounds"] and (figures["blocks"] or "THINNED" not in settings)
 
 
+def test_a_chain_of_links_is_one_component():
+    """Sliding sets: neighbours link, ends share nothing; pivots cannot reach all of them."""
+    sets = [np.arange(i * 3, i * 3 + 100) for i in range(120)] + [np.arange(10_000 + i * 20, 10_100 + i * 20) for i in range(30)]
+    order = np.random.default_rng(1).permutation(len(sets))
+    for pivots in (1, 3, 8):
+        root = jaccard.join_cell([sets[i] for i in order], pivots=pivots)
+        assert len(np.unique(root[order < 120])) == 1 and len(np.unique(root)) == 31
+
+
+@pytest.mark.parametrize("thinned", [0.9, -1.0])
 @pytest.mark.parametrize("seed", range(4))
-def test_a_cell_is_joined_whole(seed):
+def test_a_cell_is_joined_whole(seed, thinned, monkeypatch):
+    monkeypatch.setattr(jaccard, "THINNED", thinned)
     rng = np.random.default_rng(seed)
     base = rng.choice(500, 60, replace=False)
     sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(50, 61), replace=False), rng.integers(500, 900, rng.integers(0, 6))])) for _ in range(40)]
