@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import groups, rowwise, tables, written
+from .common import groups, join_counted, rowwise, tables, written
 
 WINDOW, PREFIX = 35, 12
 #: Segments of a group that one task takes; larger ones get a longer prefix.
@@ -440,8 +440,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         texts = survey.groupBy("t_hi", "t_lo").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("rep"))
 
         anchors = survey.select("sid", "t_lo", F.explode("anchors").alias("prefix"))
-        shared = anchors.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.min("t_lo").alias("a"), F.max("t_lo").alias("b")).where("a != b").select("prefix", (F.col("rows") > full).alias("hot"))
-        hits = anchors.select("sid", "prefix").join(shared, "prefix")
+        shared = anchors.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.min("t_lo").alias("a"), F.max("t_lo").alias("b")).where("a != b").select("prefix", "rows", (F.col("rows") > full).alias("hot"))
+        shared = written(shared, "substring-shared")
+        n_anchors = survey.agg(F.sum(F.size("anchors"))).first()[0] or 0
+        hits = join_counted(anchors.select("sid", "prefix"), shared, "prefix", "rows", n_anchors)
         by_text = hits.groupBy("sid").agg(F.collect_list(F.when(~F.col("hot"), F.col("prefix"))).alias("cold_anchors"), F.collect_list(F.when(F.col("hot"), F.col("prefix"))).alias("hot_anchors"))
         # one row of each text, found again by its id and a hash of the text as it is
         reps = texts.select(F.col("rep").alias("sid")).join(by_text, "sid").join(survey.select("sid", "id", "x"), "sid")
@@ -461,9 +463,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 marks.append(long.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALT)).cast("int")).join(twice, ["h1", "h2", "salt"]).select("sid", "spans"))
                 break
             dealt = written(dealt, "substring-split")
-            sizes = dealt.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b")
-            cold.append(dealt.join(sizes.where(F.col("rows") <= full).select("prefix"), "prefix").select(*_COLUMNS))
-            hot = written(dealt.join(sizes.where(F.col("rows") > full).select("prefix"), "prefix").select(*_COLUMNS), "substring-hot")
+            sizes = dealt.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("prefix", "rows")
+            sized = join_counted(dealt, written(sizes, "substring-sizes"), "prefix", "rows", dealt.count())
+            sized = written(sized, "substring-sized")
+            cold.append(sized.where(F.col("rows") <= full).select(*_COLUMNS))
+            hot = sized.where(F.col("rows") > full).select(*_COLUMNS)
             some = not hot.isEmpty()
         for group in cold:
             marks.append(group.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees(window), "sid long, spans array<int>"))
