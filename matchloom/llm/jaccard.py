@@ -176,37 +176,46 @@ def _survey(k: int, share: float):
     return lambda: fn
 
 
+def _arrays(rows: list[np.ndarray]):
+    """An Arrow list column of arrays of one kind."""
+    import pyarrow as pa
+
+    offsets = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), pa.int64()))
+
+
 def _parts(k: int, percent: int):
     """Part hashes of each set."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         bounds = level_bounds(1 << 31, percent)
-        for pdf in batches:
-            raws = [_raw(t) for t in pdf["text"]]
-            found = []
+        for batch in batches:
+            raws = [_raw(t) for t in batch.column("text").to_pylist()]
             for a, b in _batches(raws):
                 owner, h = shingle_sets(raws[a:b], k)
                 cut = np.searchsorted(owner, np.arange(b - a + 1))
-                found += [signatures(h[x:y], bounds, percent) for x, y in zip(cut, cut[1:])]
-            yield pd.DataFrame({"node": pdf["node"], "parts": found})
+                found = [signatures(h[x:y], bounds, percent) for x, y in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), _arrays(found)], names=["node", "parts"])
 
     return run
 
 
 def _sets(k: int):
+    """Size and sorted elements of each set."""
+
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            raws = [_raw(t) for t in pdf.pop("text")]
-            found = []
+        for batch in batches:
+            raws = [_raw(t) for t in batch.column("text").to_pylist()]
             for a, b in _batches(raws):
                 owner, h = shingle_sets(raws[a:b], k)
                 cut = np.searchsorted(owner, np.arange(b - a + 1))
-                found += [np.sort(h[cut[i] : cut[i + 1]].view(np.int64)) for i in range(b - a)]
-            yield pd.DataFrame({"region": pdf["region"], "node": pdf["node"], "n": [len(s) for s in found], "elements": found})
+                found = [np.sort(h[x:y].view(np.int64)) for x, y in zip(cut, cut[1:])]
+                columns = [batch.column(c).slice(a, b - a) for c in ("region", "node")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in found], pa.int64()), _arrays(found)], names=["region", "node", "n", "elements"])
 
     return run
 
@@ -418,13 +427,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = source.select(F.col("id").alias("s_id"), F.col("x").alias("s_x"), "text").join(reps, same_row).select(F.col("sid").alias("node"), "text")
         texts = written(texts, "jaccard-texts")
 
-        parts = texts.mapInPandas(_parts(shingle, percent), "node long, parts array<long>").select("node", F.explode("parts").alias("part"))
+        parts = texts.mapInArrow(_parts(shingle, percent), "node long, parts array<long>").select("node", F.explode("parts").alias("part"))
         parts = written(parts, "jaccard-parts")
         shared = parts.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows")).where("a != b").select("part", "a", "rows")
         shared = written(shared, "jaccard-shared")
         regions = components(join_counted(parts, shared, "part", "rows", parts.count()).where("node != a").select("node", "a").distinct(), "node", "a")
         points = texts.join(regions.select(F.col("id").alias("node"), F.col("component").alias("region")), "node")
-        points = points.mapInPandas(_sets(shingle), "region long, node long, n long, elements array<long>")
+        points = points.mapInArrow(_sets(shingle), "region long, node long, n long, elements array<long>")
         points = written(points, "jaccard-points")
         joined = components(links(points, percent, figures))
 
