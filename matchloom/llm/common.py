@@ -93,17 +93,18 @@ def discard(*frames: DataFrame) -> None:
 MANY, FEW_KEYS = 1000, 100_000
 
 
-def join_counted(rows: DataFrame, keys: DataFrame, on: str, count: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, keys: DataFrame, on: str | list[str], count: str, total: int) -> DataFrame:
     """``rows`` joined to ``keys``, which are unique by ``on`` and have each the ``count`` of its rows, ``total`` of them in all.
 
     So there are at most ``FEW_KEYS`` keys of more than total / FEW_KEYS rows:
     these are broadcast to where their rows are, and no task gets a hot key.
     """
+    on = [on] if isinstance(on, str) else on
     bound = max(MANY, -(-total // FEW_KEYS))
     if (keys.agg(F.max(count)).first()[0] or 0) <= bound:
         return rows.join(keys, on)
     hot = F.broadcast(keys.where(F.col(count) > bound))
-    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(keys.where(F.col(count) <= bound), on))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(count) <= bound), on))
 
 
 def partitions(spark: SparkSession, rows: int | None = None, per: int = 2_000_000) -> int:

@@ -54,10 +54,8 @@ WINDOW, PREFIX = 35, 12
 FULL = 1000
 #: How many times fewer offsets a class has at each step.
 SPLIT = 4
-#: Parts that a hot window's places are dealt into.
-SALT = 8
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -459,8 +457,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             dealt = hot.mapInPandas(_split(window, span), _SEGMENTS)
             if span == 1:  # the prefix is the whole window
                 long = written(dealt.mapInPandas(_windows(window), "sid long, h1 long, h2 long, spans array<int>"), "substring-windows")
-                twice = long.groupBy("h1", "h2").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-                marks.append(long.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALT)).cast("int")).join(twice, ["h1", "h2", "salt"]).select("sid", "spans"))
+                twice = long.groupBy("h1", "h2").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count(F.lit(1)).alias("rows")).where("a != b").select("h1", "h2", "rows")
+                marks.append(join_counted(long, written(twice, "substring-twice"), ["h1", "h2"], "rows", long.count()).select("sid", "spans"))
                 break
             dealt = written(dealt, "substring-split")
             sizes = dealt.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("a != b").select("prefix", "rows")
