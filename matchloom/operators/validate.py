@@ -38,44 +38,55 @@ def row_counts(lists: DataFrame) -> DataFrame:
 
 
 def last_rows(lists: DataFrame) -> DataFrame:
-    """Of each key the last row, by ``line``."""
-    return lists.groupBy("key").agg(F.max_by("rest", "line").alias("rest"))
+    """Of each key the last row, by its place."""
+    return lists.groupBy("key").agg(F.max_by("rest", "at").alias("rest"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value), lines counted from 1."""
-    numbered = spark.read.option("lineSep", "\n").text(path).coalesce(1).withColumn("line", F.monotonically_increasing_id() + 1)
-    return numbered.select("line", "value")
+    """(at, value) of a file's lines, read in splits; ``at`` orders them as the file does."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    # rows of a split are numbered in their order; its first byte orders the splits
+    return lines.select(F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+
+
+def _after_header(lines: DataFrame) -> tuple[str | None, DataFrame]:
+    """(first line or None, the lines after it)."""
+    first = lines.where("at.block = 0").agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at")).first()
+    if first["at"] is None:
+        return None, lines
+    return first["value"], lines.where((F.col("at.block") > 0) | (F.col("at.row") > F.lit(first["at"]["row"])))
 
 
 def read_ids(spark: SparkSession, path: str, column: str = "key") -> DataFrame:
     """First column of a file, without header and blank lines."""
-    rows = read_lines(spark, path).where("line > 1").where(F.trim("value") != "")
+    rows = _after_header(read_lines(spark, path))[1].where(F.trim("value") != "")
     return rows.select(F.trim(F.split("value", "\t", 2)[0]).alias(column)).distinct()
 
 
 def read_lists(spark: SparkSession, path: str, header: list[str]) -> tuple[DataFrame | None, list[str]]:
-    """((line, key, rest), errors); None where the file or its header is broken."""
+    """((at, key, rest), errors); None where the file or its header is broken."""
     name = path.rstrip("/").rpartition("/")[2]
     try:
         lines = read_lines(spark, path)
-        first = lines.where("line = 1").first()
+        first, rows = _after_header(lines)
     except Exception as e:  # the path does not exist
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None, [f"File not found: {path}"]
     if first is None:
         return None, [f"{name} is empty."]
-    if "\t" not in first["value"] and "," in first["value"]:
+    if "\t" not in first and "," in first:
         return None, [f"{name}: the header has commas and no tab; lists are tab-separated."]
-    found = [c.strip().lower() for c in first["value"].split("\t")]
+    found = [c.strip().lower() for c in first.split("\t")]
     if found != header:
         return None, [f"{name}: unexpected header {found}, expected {header}."]
-    rows = lines.where("line > 1")
-    bad = rows.where((F.instr("value", "\t") == 0) & (F.trim("value") != "")).orderBy("line").limit(EXAMPLES).collect()
-    errors = [f"{name}: malformed row (no tab) at line {r['line']}: {r['value']!r}" for r in bad]
+    bad = rows.where((F.instr("value", "\t") == 0) & (F.trim("value") != "")).orderBy("at").limit(EXAMPLES).collect()
+    errors = []
+    if bad:  # numbers of the few lines that are shown: how many stand before each, in one pass
+        before = lines.agg(*[F.count(F.when(F.col("at") <= F.struct(F.lit(r["at"]["block"]).alias("block"), F.lit(r["at"]["row"]).alias("row")), 1)) for r in bad]).first()
+        errors = [f"{name}: malformed row (no tab) at line {n}: {r['value']!r}" for r, n in zip(bad, before)]
     rows = rows.where(F.instr("value", "\t") > 0)
-    return rows.select("line", F.split("value", "\t", 2)[0].alias("key"), F.split("value", "\t", 2)[1].alias("rest")), errors
+    return rows.select("at", F.split("value", "\t", 2)[0].alias("key"), F.split("value", "\t", 2)[1].alias("rest")), errors
 
 
 def _messages(name: str, found: DataFrame) -> list[str]:

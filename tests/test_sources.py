@@ -1,3 +1,8 @@
+import csv
+import hashlib
+import io
+import random
+
 import pytest
 
 from matchloom.operators import profile
@@ -15,9 +20,8 @@ def put(tmp_path, text, name="a.tsv"):
     return str(path)
 
 
-@pytest.mark.parametrize("read", [tsv.read_tsv, tsv.read_bulk])
-def test_texts_are_kept_as_they_are(spark, tmp_path, read):
-    rows = {r.entity_id: r for r in read(spark, put(tmp_path, GOOD), SOURCE_COLUMNS).collect()}
+def test_texts_are_kept_as_they_are(spark, tmp_path):
+    rows = {r.entity_id: r for r in tsv.read_tsv(spark, put(tmp_path, GOOD), SOURCE_COLUMNS).collect()}
     assert (rows["S1-1"].business_name, rows["S1-1"].business_address) == ("NA", "")
     assert rows["S1-2"].business_name == "  "
     assert rows["S1-2"].business_address == 'a "tab"\there\nand line'
@@ -32,6 +36,79 @@ def test_faults_are_refused(spark, tmp_path, text):
         tsv.read_tsv(spark, put(tmp_path, text), SOURCE_COLUMNS)
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few bytes, so that rows cross them."""
+    names = {"spark.sql.files.maxPartitionBytes": "37", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k in names:
+        spark.conf.unset(k)
+
+
+def by_csv(text):
+    return [tuple(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter="\t", strict=True)]
+
+
+FIELDS = ["", "a", "NA", '"q"', '"a\nb"', '"\n\n"', '"x ""y"" z"', 'in"side', '"tab\there"', "é", '""', '"long\n' + "line " * 12 + '\n"', "5\" pipe", '""""']
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_splits_read_as_one_file(spark, tmp_path, small_splits, seed):
+    rng = random.Random(seed)
+    fields = FIELDS if seed % 2 else [f for f in FIELDS if '"' not in f]
+    text = HEADER + "".join("\t".join(rng.choice(fields) for _ in SOURCE_COLUMNS) + rng.choice(["\n", "\r\n"] if seed > 5 else ["\n"]) for _ in range(25))
+    text = text.removesuffix("\n") if seed == 3 else text
+    rows = tsv.read_tsv(spark, put(tmp_path, text), SOURCE_COLUMNS)
+    assert sorted(map(tuple, rows.collect())) == sorted(by_csv(text)[1:])
+    assert tsv._lines(spark, str(tmp_path / "a.tsv")).rdd.getNumPartitions() > 5
+    assert sorted(map(tuple, tsv.read_tsv(spark, put(tmp_path, text), SOURCE_COLUMNS, limit=7).collect())) == sorted(by_csv(text)[1:8])
+
+
+@pytest.mark.parametrize("row, line", [("a\tb\tc", 32), ('"a"b\tc\td\te', 32), ("", 32), ('"x\ny"\ta\tb\tc\td', 33), ('a\tb\tc\t"d', 42)])
+def test_faults_are_told_with_their_line(spark, tmp_path, small_splits, row, line):
+    good = "S1-1\ta\tb\tc\n"
+    text = HEADER + good * 30 + row + "\n" + good * 10
+    with pytest.raises(DataFormatError, match=f"line {line}:"):
+        tsv.read_tsv(spark, put(tmp_path, text), SOURCE_COLUMNS)
+
+
+def test_state_after_lines_is_that_of_the_csv_reader():
+    rng = random.Random(1)
+    for _ in range(3000):
+        line = "".join(rng.choices('"\ta', k=rng.randrange(0, 9)))
+        for state in (tsv.OUTSIDE, tsv.INSIDE):
+            try:
+                rows = list(csv.reader(io.StringIO(("" if state == tsv.OUTSIDE else '"\n') + line + '\nX', newline=""), delimiter="\t", strict=True))
+            except csv.Error as e:
+                if "expected after" in str(e):
+                    continue
+                rows = []
+            assert (tsv.state_after(line, state) == tsv.OUTSIDE) == (len(rows) > 1 and rows[-1] == ["X"]), (line, state)
+
+
+def test_folders_of_files(spark, tmp_path):
+    for k, text in enumerate((GOOD, HEADER, HEADER + "S1-9\tx\ty\tz\n")):
+        put(tmp_path, text, f"part{k}.tsv")
+    assert tsv.read_tsv(spark, str(tmp_path), SOURCE_COLUMNS).count() == 4
+    put(tmp_path, HEADER + "S1-8\tx\n", "part9.tsv")
+    with pytest.raises(DataFormatError, match="part9.*line 2"):
+        tsv.read_tsv(spark, str(tmp_path), SOURCE_COLUMNS)
+
+
+def test_many_tasks_write_one_file(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("concat('S1-', lpad(id, 5, '0')) as source1_entity_id").repartition(7)
+    path = str(tmp_path / "ids.tsv")
+    tsv.write_tsv(rows, path, ID_COLUMNS, ID_COLUMNS[0])
+    assert (tmp_path / "ids.tsv").read_text() == "source1_entity_id\n" + "".join(f"S1-{i:05d}\n" for i in range(5000))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["ids.tsv"]
+    found = tsv.fingerprint(spark, path)
+    assert found == {"sha256": hashlib.sha256((tmp_path / "ids.tsv").read_bytes()).hexdigest(), "bytes": (tmp_path / "ids.tsv").stat().st_size}
+    tsv.write_parts(rows, str(tmp_path / "parts"), ID_COLUMNS, ID_COLUMNS[0])
+    assert len(list((tmp_path / "parts").glob("part-*"))) >= 1
+
+
 def test_header_alone_is_an_empty_table(spark, tmp_path):
     rows = tsv.read_tsv(spark, put(tmp_path, HEADER), SOURCE_COLUMNS)
     assert rows.count() == 0 and rows.columns == list(SOURCE_COLUMNS)

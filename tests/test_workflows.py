@@ -164,6 +164,31 @@ def test_validator(spark, tmp_path):
     assert "not found" in run(tmp_path / "none.tsv")[0][0]
 
 
+def test_validator_of_a_file_in_many_splits(spark, tmp_path):
+    from matchloom.operators import validate
+
+    path = tmp_path / "lists.tsv"
+    lines = ["\t".join(TRUTH)] + [f"S1-{i % 50:02}\tS2-{i}" for i in range(400)]
+    lines[123] = "no tab here"
+    lines[301] = "nor here"
+    path.write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows, errors = validate.read_lists(spark, str(path), list(TRUTH))
+        assert validate.read_lines(spark, str(path)).rdd.getNumPartitions() > 8
+        assert [e.split(":")[1] for e in errors] == [" malformed row (no tab) at line 124", " malformed row (no tab) at line 302"]
+        want = {}
+        for x in lines[1:]:
+            if "\t" in x:
+                want[x.split("\t")[0]] = x.split("\t")[1]
+        assert {r.key: r.rest for r in validate.last_rows(rows).collect()} == want
+        assert rows.count() == 398 and validate.read_ids(spark, str(path)).count() == 52
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_commands(tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["index"])
