@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
 columns of ``documents``; they may be empty, and null or empty texts are
-rejected by the first one.
+rejected by the first one.  Repeated rows are near duplicates of each other, so
+one stays; of a group's rows that tie by their id the one of the least text hash
+stays, and documents that tie in the mix are drawn by their hash.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import jaccard, langid, mixing, pii, sentencepiece
 from matchloom.llm.catalogue import PII_KEY, tokenizer_file
-from matchloom.llm.common import discard, table, written
+from matchloom.llm.common import discard, table, tables, written
 from matchloom.session import ship
 
 
@@ -63,9 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-            discard(before)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with tables() as keep:  # what the stage wrote goes, once its result is written
+            before, docs = docs, keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
