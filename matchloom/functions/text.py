@@ -25,8 +25,16 @@ def _normalize_batch(values: pd.Series) -> pd.Series:
 
 
 def normalize_text(column) -> Column:
-    """``normalize`` by Arrow batches; each distinct text of a batch is handled once.  Null stays null."""
-    return F.pandas_udf(_normalize_batch, "string")(column)
+    """``normalize`` of a column; null stays null.
+
+    ASCII has no other forms: its texts are lower-cased and trimmed by built-in
+    functions, and only other ones go to Python, by Arrow batches, where each
+    distinct text of a batch is handled once.
+    """
+    text = F.col(column) if isinstance(column, str) else column
+    plain = ~has_non_ascii(text)
+    blanks = F.regexp_replace(F.lower(text), r"[\t-\r\x1c-\x20]+", " ")
+    return F.coalesce(F.when(plain, F.btrim(blanks)), F.pandas_udf(_normalize_batch, "string")(F.when(~plain, text)))
 
 
 def is_blank(column: Column) -> Column:

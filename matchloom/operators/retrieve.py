@@ -4,7 +4,7 @@ All queries run as one job.  Work is done once per distinct query text: an
 exact channel ranks each text's targets before it meets the queries, and a word
 channel scores each distinct text's tokens against the postings.  The frequency
 cutoff bounds how many postings a token can bring, and similarities are taken
-only of the union of the channels.
+only of the union of the channels, once: the measured union is a table.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from ..functions.similarity import guarded, indel_ratio, rerank_score
 from ..functions.text import word_tokens
 from ..schema import CHANNELS, RetrievalSettings
+from ..tables import tables, written
 from . import index
 
 #: Fixed values of the ranking function, and the digits kept of its scores.
 K1, B, LEAST_IDF, DIGITS = 1.2, 0.75, 1e-6, 12
-#: Up to so many postings (some 50 bytes each) are broadcast; more are joined by shuffling.
-SMALL_POSTINGS = 1_000_000
+#: Postings of up to so many bytes are broadcast; more are joined by shuffling.
+SMALL_POSTINGS = 64 << 20
+#: Bytes of a posting beside its token and target.
+POSTING = 64
 #: Fixed value: the least length of a token that is searched.
 TOKEN = 2
 
@@ -68,11 +71,11 @@ def bm25(terms: DataFrame, posted: DataFrame, lengths: DataFrame, n_targets: int
 
 def word_channels(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings, saved: dict[str, DataFrame] | None = None) -> DataFrame:
     """(query, target, field, score): the best targets of each field by BM25, then id.  ``saved``: tables of a saved index."""
-    posted = saved["postings"] if saved else index.postings(targets).persist()  # counted, aggregated and joined below
+    posted = saved["postings"] if saved else written(index.postings(targets), "postings")  # measured, aggregated and joined below
     frequencies = saved["term_frequency"] if saved else index.term_frequency(posted)
     length = saved["lengths"] if saved else index.lengths(targets)
     n, mean = length.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    small = posted.count() <= SMALL_POSTINGS
+    small = (posted.agg(F.sum(F.octet_length("token") + F.octet_length("entity_id") + POSTING)).first()[0] or 0) <= SMALL_POSTINGS
     scored = bm25(rarest_terms(query_texts(queries), frequencies, settings), posted, length, n, mean, small)
     place = F.row_number().over(Window.partitionBy("field", "text").orderBy("score", "target"))
     best = scored.withColumn("place", place).where(F.col("place") <= settings.per_channel)
@@ -104,21 +107,22 @@ def measured(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFr
 
 
 def variants(scored: DataFrame, settings: RetrievalSettings) -> DataFrame:
-    """(variant, query, target, rank, score, flags): each variant's best, by score, then id."""
+    """(variant, query, target, rank, score, n, a, flags): each variant's best, by score, then id."""
     hybrid = F.round(rerank_score(F.col("n"), F.col("a")), DIGITS)
     kinds = F.array(
         F.struct(F.lit("name_only").alias("variant"), F.round("n", DIGITS).alias("score"), (F.col("exact_name") | F.col("name_words")).alias("of")),
         F.struct(F.lit("exact_name_address").alias("variant"), hybrid.alias("score"), (F.col("exact_name") | F.col("exact_address")).alias("of")),
         F.struct(F.lit("hybrid").alias("variant"), hybrid.alias("score"), F.lit(True).alias("of")),
     )
-    rows = scored.select("query", "target", *CHANNELS, F.explode(kinds).alias("v")).where("v.of").select("query", "target", *CHANNELS, "v.variant", "v.score")
+    rows = scored.select("query", "target", "n", "a", *CHANNELS, F.explode(kinds).alias("v")).where("v.of").select("query", "target", "n", "a", *CHANNELS, "v.variant", "v.score")
     rank = F.row_number().over(Window.partitionBy("variant", "query").orderBy(F.desc("score"), "target"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= settings.max_candidates)
 
 
 def retrieve(queries: DataFrame, targets: DataFrame, settings: RetrievalSettings = RetrievalSettings(), saved: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(union before the cap with similarities, variants) of prepared queries and targets.  No truth is taken."""
-    scored = measured(union(channels(queries, targets, settings, saved)), queries, targets)
+    with tables() as keep:
+        scored = keep(written(measured(union(channels(queries, targets, settings, saved)), queries, targets), "scored"))
     return scored, variants(scored, settings)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import hash_rank
 from ..schema import SplitSettings
+from ..tables import tables, written
 
 #: Hex digits of a rank that are counted: 4096 prefixes a stratum.
 PREFIX = 3
@@ -79,6 +80,8 @@ def sample_quotas(roles: DataFrame, settings: SplitSettings = SplitSettings()) -
 def stratified_sample(roles: DataFrame, settings: SplitSettings = SplitSettings()) -> DataFrame:
     """The first ranks of each role and stratum, as many as its quota."""
     by = ["role", *STRATUM]
+    with tables() as keep:
+        roles = keep(written(roles, "roles"))
     return first_ranks(roles, by, sample_quotas(roles, settings)).where("taken").drop("taken")
 
 

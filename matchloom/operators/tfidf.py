@@ -1,4 +1,11 @@
-"""Character n-gram retrieval by TF-IDF cosine, as posting joins between distinct texts."""
+"""Character n-gram retrieval by TF-IDF cosine, as posting joins between distinct texts.
+
+With a least similarity s, each query text meets the postings by its rarest grams
+only, up to those beyond which the rest of its unit vector is shorter than s: a
+target text that has none of them has a product below s.  So the most frequent
+grams, which most texts share, join no postings; their share is added for those
+pairs that it can still lift to s.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import char_grams
 from ..schema import TfidfSettings
+from ..tables import tables, written
 
 DIGITS = 12
 
@@ -36,13 +44,32 @@ def weigh(texts: DataFrame, idf: DataFrame, low: int, high: int) -> DataFrame:
     return _unit(gram_counts(texts, low, high).join(idf, "gram").select("text", "gram", (F.col("tf") * F.col("idf")).alias("w")))
 
 
-def text_similarity(queries: DataFrame, targets: DataFrame, column: str, low: int, high: int, **limits) -> DataFrame:
-    """(q_text, t_text, score) of distinct texts that share a gram."""
-    idf, weights = fit(targets, column, low, high, **limits)
+def _split(weights: DataFrame, idf: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(text, gram, w, tail) of the rare grams of unit vectors, ``tail``: the length of the rest, and (text, gram, w) of the rest, which is shorter than ``least``."""
+    # from frequent (small idf) to rare, the squared length up to a gram
+    upto = Window.partitionBy("text").orderBy("idf", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = weights.join(idf, "gram").withColumn("upto", F.sum(F.col("w") * F.col("w")).over(upto)).withColumn("frequent", F.col("upto") < least * least * (1 - 1e-9))
+    tail = F.sqrt(F.coalesce(F.max(F.when(F.col("frequent"), F.col("upto"))).over(Window.partitionBy("text")), F.lit(0.0)))
+    rows = rows.withColumn("tail", tail)
+    return rows.where(~F.col("frequent")).select("text", "gram", "w", "tail"), rows.where("frequent").select("text", "gram", "w")
+
+
+def text_similarity(queries: DataFrame, targets: DataFrame, column: str, low: int, high: int, least: float = 0.0, **limits) -> DataFrame:
+    """(q_text, t_text, score) of distinct texts that share a gram; with ``least``, at any rate all of such a score."""
+    with tables() as keep:
+        idf, weights = (keep(written(x, "tfidf")) for x in fit(targets, column, low, high, **limits))
     texts = queries.where(F.col(column) != "").select(F.col(column).alias("text")).distinct()
-    asked = weigh(texts, idf, low, high).select(F.col("text").alias("q_text"), "gram", F.col("w").alias("q_w"))
-    both = asked.join(weights.withColumnRenamed("text", "t_text"), "gram")
-    return both.groupBy("q_text", "t_text").agg(F.least(F.sum(F.col("q_w") * F.col("w")), F.lit(1.0)).alias("score"))
+    asked = weigh(texts, idf, low, high)
+    posted = weights.select(F.col("text").alias("t_text"), "gram", F.col("w").alias("t_w"))
+    product = F.sum(F.col("w") * F.col("t_w"))
+    if least <= 0:
+        both = asked.withColumnRenamed("text", "q_text").join(posted, "gram")
+        return both.groupBy("q_text", "t_text").agg(F.least(product, F.lit(1.0)).alias("score"))
+    rare, frequent = (x.withColumnRenamed("text", "q_text") for x in _split(asked, idf, least))
+    met = rare.join(posted, "gram").groupBy("q_text", "t_text").agg(product.alias("met"), F.max("tail").alias("tail"))
+    met = met.where(F.col("met") + F.col("tail") >= least - 1e-9).drop("tail")
+    more = met.join(frequent, "q_text").join(posted, ["t_text", "gram"]).groupBy("q_text", "t_text").agg(product.alias("more"))
+    return met.join(more, ["q_text", "t_text"], "left").select("q_text", "t_text", F.least(F.col("met") + F.coalesce("more", F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def _best_targets(similar: DataFrame, targets: DataFrame, column: str, k: int, least: float, score: Column) -> DataFrame:
@@ -62,7 +89,8 @@ def top_k(queries: DataFrame, targets: DataFrame, settings: TfidfSettings = Tfid
     """
     found = None
     for column in ("name", "address"):
-        similar = text_similarity(queries, targets, column, settings.low, settings.high)
+        # scores are rounded before they are held against the floor
+        similar = text_similarity(queries, targets, column, settings.low, settings.high, settings.minimum_similarity - 10.0**-DIGITS)
         best = _best_targets(similar, targets, column, settings.top_k, settings.minimum_similarity, F.round("score", DIGITS))
         rows = queries.select(F.col("entity_id").alias("query"), F.col(column).alias("q_text")).join(best, "q_text").select("query", "target", "score")
         found = rows if found is None else found.unionByName(rows)

@@ -20,6 +20,10 @@ LEGACY_FRACTION = 0.5
 SPLIT = SplitSettings(train=300, development=100, evaluation=100)
 #: The score from which a candidate counts as a match where no model is asked.
 ACCEPT = 1.0
+#: The greatest retrieval score.
+MOST = 1.1
+#: Features that retrieval has measured, by its columns.
+MEASURED = {"name_ratio": "n", "address_ratio": "a"}
 FIXTURE_GRAMS = TfidfSettings()
 
 
@@ -100,7 +104,7 @@ def q_coverage_gaps(spark, d):
 @query
 def q_unknown_targets(spark, d):
     """Candidates that are no predictions' targets."""
-    return views.order_candidates(spark, d).join(views.order_predictions(spark, d), "target", "left_anti").select("query", "target")
+    return contracts.subset_violations(views.order_candidates(spark, d), views.order_predictions(spark, d), "target").select("query", "target")
 
 
 @query
@@ -189,9 +193,8 @@ def q_word_tokens(spark, d):
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
-def _settings(targets: DataFrame) -> RetrievalSettings:
-    """The default limits; a token in more than a fifth of the targets is not searched."""
-    return RetrievalSettings(max_token_documents=max(1, targets.count() // 5))
+#: The default limits; a token in more than 200 targets is not searched, however many there are, so a token brings no more.
+LIMITS = RetrievalSettings(max_token_documents=200)
 
 
 @query
@@ -215,7 +218,7 @@ def q_index_stats(spark, d):
 @query
 def q_rarest_terms(spark, d):
     queries_, targets = views.part_sources(spark, d)
-    found = retrieve.rarest_terms(retrieve.query_texts(queries_), index.term_frequency(index.postings(targets)), _settings(targets))
+    found = retrieve.rarest_terms(retrieve.query_texts(queries_), index.term_frequency(index.postings(targets)), LIMITS)
     return _long(found, "documents", "place").select("field", "text", "token", "documents", "place")
 
 
@@ -247,7 +250,7 @@ def q_channel_exact_address(spark, d):
 
 def _words(spark, d, field):
     queries_, targets = views.part_sources(spark, d)
-    found = retrieve.word_channels(queries_, targets, _settings(targets)).where(F.col("field") == field)
+    found = retrieve.word_channels(queries_, targets, LIMITS).where(F.col("field") == field)
     return _round(found.select("query", "target", "score"), "score")
 
 
@@ -263,13 +266,13 @@ def q_channel_address_words(spark, d):
 
 def _found(spark, d):
     queries_, targets = views.part_sources(spark, d)
-    return queries_, targets, *retrieve.retrieve(queries_, targets, _settings(targets))
+    return queries_, targets, *retrieve.retrieve(queries_, targets, LIMITS)
 
 
 @query
 def q_channel_union(spark, d):
     queries_, targets = views.part_sources(spark, d)
-    return retrieve.union(retrieve.channels(queries_, targets, _settings(targets)))
+    return retrieve.union(retrieve.channels(queries_, targets, LIMITS))
 
 
 @query
@@ -287,10 +290,10 @@ def q_retrieval_trace(spark, d):
 
 
 def _name_pairs(spark, d):
-    """Every pair of different part names: a few dozen invented names, whatever the number of parts."""
+    """Pairs of distinct part names that share a word, each with itself among them."""
     names = views.part_records(spark, d).select(normalize_text("business_name").alias("a")).distinct()
-    every = names.agg(F.collect_set("a").alias("all"))
-    return names.join(F.broadcast(every)).select("a", F.explode("all").alias("b"))
+    words = names.select("a", F.explode(word_tokens(F.col("a"))).alias("word"))
+    return words.join(words.withColumnRenamed("a", "b"), "word").select("a", "b").distinct()
 
 
 @query
@@ -340,7 +343,7 @@ def q_knn_demo(spark, d):
 def _pairs(spark, d):
     """The hybrid candidates with their scores."""
     queries_, targets, _, ranked = _found(spark, d)
-    return queries_, targets, ranked.where("variant = 'hybrid'").select("query", "target", F.col("score").alias("retrieval_score"))
+    return queries_, targets, ranked.where("variant = 'hybrid'").select("query", "target", "n", "a", F.col("score").alias("retrieval_score"))
 
 
 @query
@@ -352,7 +355,7 @@ def q_candidate_pairs(spark, d):
 @query
 def q_pair_features(spark, d):
     queries_, targets, found = _pairs(spark, d)
-    return _round(pairs.pair_features(found.select("query", "target"), queries_, targets, checked=False), *pairs.FEATURES)
+    return _round(pairs.pair_features(found.select("query", "target", "n", "a"), queries_, targets, known=MEASURED), *pairs.FEATURES)
 
 
 @query
@@ -364,15 +367,17 @@ def q_label_pairs(spark, d):
 def q_train_and_score(spark, d):
     """Trees over the labelled candidates, and their scores."""
     queries_, targets, found = _pairs(spark, d)
-    rows = pairs.label_pairs(pairs.pair_features(found.select("query", "target"), queries_, targets, checked=False), views.part_truth(spark, d))
+    rows = pairs.label_pairs(pairs.pair_features(found.select("query", "target", "n", "a"), queries_, targets, known=MEASURED), views.part_truth(spark, d))
     fitted = model.fit_model(rows, SPLIT.seed)
     return model.predict(fitted, rows).select("query", "target", "label", "score")
 
 
 @query
 def q_choose_matches(spark, d):
+    """Candidates whose retrieval score, as a share of the greatest there is, reaches the threshold."""
     found = _pairs(spark, d)[2]
-    return found.where(F.col("retrieval_score") >= ACCEPT).select("query", "target")
+    scored = found.select("query", "target", (F.col("retrieval_score") / MOST).alias("score"))
+    return pairs.choose_matches(scored, ACCEPT / MOST, found)
 
 
 # Scores
@@ -445,7 +450,7 @@ def q_missed_links(spark, d):
 @query
 def q_query_details(spark, d):
     queries_, targets, _, ranked = _found(spark, d)
-    terms = retrieve.rarest_terms(retrieve.query_texts(queries_), index.term_frequency(index.postings(targets)), _settings(targets))
+    terms = retrieve.rarest_terms(retrieve.query_texts(queries_), index.term_frequency(index.postings(targets)), LIMITS)
     return evaluation.query_details(queries_, views.part_truth(spark, d), ranked, terms)
 
 

@@ -28,7 +28,7 @@ stat AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
 qtext AS (SELECT DISTINCT field, text FROM (SELECT 'name' AS field, name AS text FROM q UNION ALL SELECT 'address', address FROM q) WHERE text <> ''),
 qtok AS (SELECT DISTINCT field, text, unnest(regexp_extract_all(text, '{WORD}')) AS token FROM qtext),
 terms AS (SELECT * FROM (SELECT field, text, token, documents, row_number() OVER (PARTITION BY field, text ORDER BY documents, token) AS place
-  FROM qtok JOIN tfreq USING (field, token), stat WHERE length(token) >= 2 AND documents <= greatest(1, n // 5)) WHERE place <= 4)"""
+  FROM qtok JOIN tfreq USING (field, token), stat WHERE length(token) >= 2 AND documents <= 200) WHERE place <= 4)"""
 
 CHANNELS = """
 bm AS (SELECT field, text, id AS target, round(-sum(greatest(CASE WHEN ln((n - documents + 0.5) / (documents + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - documents + 0.5) / (documents + 0.5)) END, 0)
@@ -146,7 +146,7 @@ tl AS (SELECT truth.query, truth.target, q.bname AS qbn, t.bname AS tbn, q.baddr
   v.query IS NOT NULL AS kept, un.query IS NOT NULL AS seen FROM truth JOIN q ON q.id = truth.query JOIN t ON t.id = truth.target
   LEFT JOIN (SELECT query, target FROM var WHERE variant = 'hybrid') v ON v.query = truth.query AND v.target = truth.target LEFT JOIN un ON un.query = truth.query AND un.target = truth.target)"""
 
-NAMES = f"names AS (SELECT DISTINCT {_norm('p_name')} AS a FROM part), nm AS (SELECT x.a, y.a AS b FROM names x, names y)"
+NAMES = f"names AS (SELECT DISTINCT {_norm('p_name')} AS a FROM part), nw AS (SELECT DISTINCT a, unnest(regexp_extract_all(a, '{WORD}')) AS word FROM names), nm AS (SELECT DISTINCT x.a, y.a AS b FROM nw x JOIN nw y USING (word))"
 SORTED = "list_aggregate(list_sort(string_split({x}, ' ')), 'string_agg', ' ')"
 
 ORACLES: dict[str, str] = {

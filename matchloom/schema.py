@@ -13,6 +13,7 @@ class DataFormatError(ValueError):
     """The data break the contract."""
 
 
+# Fixed values of the files' format: column names, channels, variants and identifier prefixes.
 SOURCE_COLUMNS = ("entity_id", "business_name", "business_address", "country")
 TRUTH_COLUMNS = ("source1_entity_id", "matched_entity_ids")
 CANDIDATE_COLUMNS = ("source1_entity_id", "candidate_entity_ids")
@@ -75,7 +76,8 @@ class TfidfSettings:
     def __post_init__(self):
         for name in ("top_k", "low", "high"):
             _positive(name, getattr(self, name))
-        threshold_ok(self.minimum_similarity)
+        if threshold_ok(self.minimum_similarity) == 0:
+            raise ValueError("minimum_similarity must exceed 0")
         if self.low > self.high:
             raise ValueError("low must not exceed high")
 
