@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from ..functions.similarity import guarded, indel_ratio, indel_ratio_sql, token_
 from ..functions.text import normalize_text, word_tokens
 from ..functions.measures import hash_rank
 from ..operators import contracts, evaluation, index, legacy, links, model, pairs, profile, retrieve, scoring, splits, tfidf, validate
-from ..schema import QUERY_PREFIXES, RetrievalSettings, SplitSettings, TfidfSettings
-from ..sources import views
+from ..schema import CANDIDATE_COLUMNS, QUERY_PREFIXES, SOURCE_COLUMNS, TRUTH_COLUMNS, DataFormatError, RetrievalSettings, SplitSettings, TfidfSettings
+from ..sources import tsv, views
 from ..sources.views import table
-from . import oracles
+from ..tables import shared_dir, tables, written
+from . import oracles, workflows
 
 QUERIES: dict = {}
 #: Share of the validation keys in the legacy split, and the roles' sample sizes.
@@ -457,14 +460,18 @@ def q_query_details(spark, d):
 # Validator and legacy
 
 
-@query
-def q_validator_findings(spark, d):
-    """The order links as a list file with faults: a row for each status, so keys repeat, and owners among the targets."""
+def _faulty_lists(spark, d):
+    """((key, rest), required, known): the order links as lists with faults: a row for each status, so keys repeat, and owners among the targets."""
     o = views._order_links(spark, d)
     rows = o.groupBy(F.col("query").alias("key"), "status").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("priority") == "5", F.col("query")).when(F.col("priority") == "4", F.concat(F.lit("X"), "target")).otherwise(F.col("target")))), ",").alias("rest"))
     required = views.keys(spark, d).select(F.col("query").alias("key"))
     known = views.order_candidates(spark, d).select("target")
-    return validate.findings(rows.select("key", "rest"), required, known)
+    return rows.select("key", "rest"), required, known
+
+
+@query
+def q_validator_findings(spark, d):
+    return validate.findings(*_faulty_lists(spark, d))
 
 
 @query
@@ -481,4 +488,94 @@ def q_legacy_pair_metrics(spark, d):
     return _round(legacy.pair_metrics(rows), "precision", "recall", "f05")
 
 
+# Files: what is written as TSV and read again
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.tsv"
+
+
+def _put(rows: DataFrame, name: str, columns, order_by: str | None = None) -> str:
+    path = _file(rows.sparkSession, name)
+    tsv.write_tsv(rows, path, columns, order_by)
+    return path
+
+
+@query
+def q_tsv_sources(spark, d):
+    """Part records through a sorted file and the strict reader."""
+    return tsv.read_tsv(spark, _put(views.part_records(spark, d), "parts", SOURCE_COLUMNS, "entity_id"), SOURCE_COLUMNS)
+
+
+@query
+def q_tsv_quoted(spark, d):
+    """Whole documents, whose quotes and line ends need quoted fields, through a file and the strict reader."""
+    columns = ("doc_id", "text", "source")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("")).alias("source"))
+    rows = tsv.read_tsv(spark, _put(docs, "documents", columns), columns)
+    return rows.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def _list_file(spark, d, links_: DataFrame, column: str) -> str:
+    keys = views.keys(spark, d).withColumnRenamed("query", "source1_entity_id")
+    lists = links.emit_lists(keys, links_.withColumnRenamed("query", "source1_entity_id"), "source1_entity_id", column)
+    return _put(lists, column, ("source1_entity_id", column), "source1_entity_id")
+
+
+@query
+def q_tsv_lists(spark, d):
+    """Truth lists through a file: the links of its rows, with the country of the source file."""
+    source = _put(views.customers(spark, d), "customers", SOURCE_COLUMNS, "entity_id")
+    keys, found = workflows.load_lists(spark, _list_file(spark, d, views.order_truth(spark, d), TRUTH_COLUMNS[1]), TRUTH_COLUMNS[1])
+    return found.join(workflows.load_countries(spark, source, keys), "query").select("query", "target", "country")
+
+
+@query
+def q_tsv_selected(spark, d):
+    """Links of the keys of a selection file: every customer of one segment."""
+    keys = views.keys(spark, d)
+    chosen = keys.where("country = 'BUILDING'").select(F.col("query").alias("source1_entity_id"))
+    selected = workflows.load_ids(spark, _put(chosen, "ids", ("source1_entity_id",), "source1_entity_id"))
+    path = _list_file(spark, d, views.order_candidates(spark, d), CANDIDATE_COLUMNS[1])
+    return workflows.load_lists(spark, path, CANDIDATE_COLUMNS[1], selected)[1]
+
+
+@query
+def q_score_files(spark, d):
+    """The score of list files, by country."""
+    truth, chosen = (_list_file(spark, d, x(spark, d), TRUTH_COLUMNS[1]) for x in (views.order_truth, views.order_predictions))
+    source = _put(views.customers(spark, d), "customers", SOURCE_COLUMNS, "entity_id")
+    by = workflows.score_files(spark, truth, chosen, source1=source)["by_country"]
+    rows = [(c, r["entities"], r["tp"], r["fp"], r["fn"], round(r["macro_f05"], 6)) for c, r in by.items()]
+    return spark.createDataFrame(rows, "country string, entities long, tp long, fp long, fn long, macro_f05 double")
+
+
+@query
+def q_validate_lines(spark, d):
+    """``q_validator_findings`` over a file, by the line-based reader."""
+    rows, required, known = _faulty_lists(spark, d)
+    path = _put(rows.select(F.col("key").alias("source1_entity_id"), F.col("rest").alias("matched_entity_ids")), "faulty", TRUTH_COLUMNS)
+    found, errors = validate.read_lists(spark, path, list(TRUTH_COLUMNS))
+    if errors:
+        raise DataFormatError(str(errors))
+    return validate.findings(found.select("key", "rest"), required, known)
+
+
+@query
+def q_model_reload(spark, d):
+    """Trained, saved, loaded: how many pairs and matches it learnt from, and whether its scores are the same."""
+    queries_, targets, found = _pairs(spark, d)
+    with tables() as keep:
+        rows = pairs.label_pairs(pairs.pair_features(found.select("query", "target", "n", "a"), queries_, targets, known=MEASURED), views.part_truth(spark, d))
+        rows = keep(written(rows, "labelled"))
+    fitted = model.fit_model(rows, SPLIT.seed, rounds=5)
+    place = _file(spark, "model")
+    model.save_model(fitted, place, 0.5, SPLIT.seed, {})
+    loaded, _ = model.load_model(spark, place, {})
+    same = model.largest_difference(model.predict(fitted, rows), model.predict(loaded, rows)) <= 1e-12
+    scored = model.predict(loaded, rows)
+    sound = F.sum(F.when(F.col("score").between(0, 1), 0).otherwise(1)) == 0
+    return scored.agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").cast("long").alias("matches"), sound.alias("sound")).withColumn("same", F.lit(bool(same)))
+
+
 ORACLES: dict[str, str] = oracles.ORACLES

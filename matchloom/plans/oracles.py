@@ -207,3 +207,12 @@ ORACLES: dict[str, str] = {
     "validator_findings": f"WITH {ORDERS}, l AS (SELECT query AS key, status, list(CASE priority WHEN '5' THEN query WHEN '4' THEN 'X' || target ELSE target END) AS ids FROM ol GROUP BY 1, 2), e AS (SELECT key, unnest(ids) AS id FROM l) SELECT 'duplicate row' AS category, key AS offender FROM l GROUP BY key HAVING count(*) > 1 UNION SELECT 'repeated ID in a list', key FROM l WHERE len(ids) <> len(list_distinct(ids)) UNION SELECT 'self match', id FROM e WHERE id LIKE 'S1-%' UNION SELECT 'wrong prefix', id FROM e WHERE NOT regexp_matches(id, '^S[123]-') UNION SELECT 'unknown ID', id FROM e WHERE regexp_matches(id, '^S[23]-') AND id NOT IN (SELECT target FROM ca) UNION SELECT 'missing row', query FROM k WHERE query NOT IN (SELECT key FROM l) UNION SELECT 'extra row', key FROM l WHERE key NOT IN (SELECT query FROM k)",
     "legacy_pair_metrics": f"WITH {ORDERS}, c AS (SELECT count(*) FILTER (x.target IS NOT NULL AND y.target IS NOT NULL) AS tp, count(y.target) AS ch, count(x.target) AS tt FROM ca LEFT JOIN tr x USING (query, target) LEFT JOIN pr y USING (query, target)), m AS (SELECT coalesce(tp / nullif(ch, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(tt, 0)::DOUBLE, 0) AS r FROM c) SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(1.25 * p * r / nullif(0.25 * p + r, 0), 0), 6) AS f05 FROM m",
 }
+ORACLES |= {
+    "tsv_sources": f"WITH {PARTS} SELECT id AS entity_id, bname AS business_name, baddress AS business_address, country FROM rec",
+    "tsv_quoted": "SELECT doc_id::VARCHAR AS doc_id, coalesce(source, '') AS source, length(coalesce(text, ''))::BIGINT AS n_chars, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+    "tsv_lists": f"WITH {ORDERS} SELECT query, target, country FROM tr JOIN k USING (query)",
+    "tsv_selected": f"WITH {ORDERS} SELECT query, target FROM ca JOIN k USING (query) WHERE country = 'BUILDING'",
+    "score_files": f"WITH {ORDERS},{_per_query('pr')} SELECT country, entities, tp, fp, fn, macro_f05 FROM (SELECT country, {MACRO} FROM pf GROUP BY country)",
+    "validate_lines": ORACLES["validator_findings"],
+    "model_reload": f"{FULL} SELECT count(*) AS pairs, count(truth.target) AS matches, true AS sound, true AS same FROM (SELECT query, target FROM var WHERE variant = 'hybrid') LEFT JOIN truth USING (query, target)",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import platform
 import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
 from pathlib import Path
@@ -184,16 +185,47 @@ def prepare_experiment(spark: SparkSession, dataset: str, output: str, split_dir
         raise
 
 
-def build_target_index(spark: SparkSession, dataset: str, output: str, limit: int | None = None) -> dict:
-    """Index the training targets; ``limit``: first rows of each source, for pilots."""
+def _quiet(_: str) -> None:
+    pass
+
+
+def build_target_index(spark: SparkSession, dataset: str, output: str, limit: int | None = None, progress: Callable[[str], None] = _quiet) -> dict:
+    """Index the training targets; ``limit``: first rows of each source, for pilots.  ``progress`` is told of each step."""
     paths = {f"source{n}": f"{dataset}/train/train_source{n}.tsv" for n in (2, 3)}
     _need(spark, paths.values())
     targets = _union([read_tsv(spark, p, SOURCE_COLUMNS, limit=limit) for p in paths.values()])
-    return store.build_index(targets, output, "full_training_targets" if limit is None else "restricted_pilot", {k: fingerprint(spark, p) for k, p in paths.items()})
-
-
-def evaluate_retrieval(spark: SparkSession, dataset: str, experiment: str, saved_index: str, output: str, settings: RetrievalSettings = RetrievalSettings()) -> dict:
-    """Retrieve for the development sample and report; the truth is read after the candidates are written."""
+    progress("targets read; indexing")
+    meta = store.build_index(targets, output, "full_training_targets" if limit is None else "restricted_pilot", {k: fingerprint(spark, p) for k, p in paths.items()})
+    progress(f"{meta['statistics']['targets']} targets indexed")
+    return meta
+
+
+def query_latency(queries: DataFrame, tables: dict[str, DataFrame], settings: RetrievalSettings, ids: list[str], progress: Callable[[str], None] = _quiet) -> dict:
+    """Seconds that single queries take, one retrieval each: mean, 95th percentile, maximum and total.
+
+    The engine answers all queries by one job, so this is asked for a few only.
+    """
+    took = []
+    for i in ids:
+        begun = time.perf_counter()
+        retrieve.retrieve(queries.where(F.col("entity_id") == i), tables["records"], settings, tables)[1].where("variant = 'hybrid'").collect()
+        took.append(time.perf_counter() - begun)
+        progress(f"query {i}: {took[-1]:.3f} s")
+    if not took:
+        return {"queries": 0, "mean": None, "p95": None, "maximum": None, "total": 0.0}
+    took.sort()
+    place = 0.95 * (len(took) - 1)
+    low = int(place)
+    p95 = took[low] + (took[min(low + 1, len(took) - 1)] - took[low]) * (place - low)
+    return {"queries": len(took), "mean": sum(took) / len(took), "p95": p95, "maximum": took[-1], "total": sum(took)}
+
+
+def evaluate_retrieval(spark: SparkSession, dataset: str, experiment: str, saved_index: str, output: str, settings: RetrievalSettings = RetrievalSettings(), timed: int = 0, progress: Callable[[str], None] = _quiet) -> dict:
+    """Retrieve for the development sample and report; the truth is read after the candidates are written.
+
+    ``timed``: so many queries, the first by id, are also asked one at a time for
+    their latency.  ``progress`` is told of each step.
+    """
     stage = Staged(spark, output, (dataset, experiment, saved_index))
     begun = time.monotonic()
     manifest = json.loads(read_text(spark, f"{experiment}/manifest.json"))
@@ -209,6 +241,7 @@ def evaluate_retrieval(spark: SparkSession, dataset: str, experiment: str, saved
     queries = index.prepare(queries, QUERY_PREFIXES).cache()
     found, ranked = retrieve.retrieve(queries, tables["records"], settings, tables)
     found, ranked = found.cache(), ranked.cache()
+    progress("candidates retrieved; writing")
     keys = queries.select(F.col("entity_id").alias("query"))
     with stage as staged:
         for variant, name in (("hybrid", "candidate_pairs"), ("name_only", "name_only_candidates"), ("exact_name_address", "exact_name_address_candidates")):
@@ -236,8 +269,10 @@ def evaluate_retrieval(spark: SparkSession, dataset: str, experiment: str, saved
             "summaries": {r["variant"]: r.asDict() for r in scoring.retrieval_summary(per, "variant").collect()},
             "by_country": {r["country"]: r.asDict() for r in scoring.retrieval_summary(countries, "country").collect()},
             "true_link_diagnostics": evaluation.link_diagnostics(link_rows).first().asDict(), "peak_process_memory_bytes": peak_memory(),
+            "latency_seconds": query_latency(queries, tables, settings, [r[0] for r in keys.orderBy("query").limit(timed).collect()], progress),
         }
         _json(spark, f"{staged}/report.json", report)
+        progress("report written")
     return report
 
 
@@ -255,7 +290,7 @@ def _as_text(rows: DataFrame) -> DataFrame:
 
 def write_outputs(keys: DataFrame, predictions: DataFrame, candidates: DataFrame, folder: str) -> None:
     """Both list files, sorted, a row for each key; predictions outside the candidates raise."""
-    contracts.require(contracts.subset_violations(predictions, candidates, "query", "target"), "predicted targets are absent from candidates")
+    contracts.require(contracts.subset_violations(predictions, candidates, "query", "target"), "chosen matches outside the candidates")
     named = keys.select(F.col("query").alias(KEY))
     for rows, columns, name in ((predictions, TRUTH_COLUMNS, "matching_results"), (candidates, CANDIDATE_COLUMNS, "candidate_pairs")):
         contracts.require(rows.join(keys, "query", "left_anti"), f"{name}: unknown query ID")
@@ -271,7 +306,7 @@ def validate_output_files(spark: SparkSession, folder: str, keys: DataFrame, tar
         contracts.require(contracts.coverage_gaps(have, keys, "query"), f"{name}: coverage")
         contracts.require(contracts.subset_violations(rows, targets.select(F.col("entity_id").alias("target")), "target"), f"{name}: unknown target")
         found.append(rows)
-    contracts.require(contracts.subset_violations(*found, "query", "target"), "predicted targets are absent from candidates")
+    contracts.require(contracts.subset_violations(*found, "query", "target"), "matches outside the candidates")
     return found[0], found[1]
 
 

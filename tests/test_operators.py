@@ -1,4 +1,6 @@
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,14 +50,23 @@ def test_roles_and_order(spark):
     assert rows(splits.lone_strata(lone)) == [("X", True, 1)]
 
 
-@pytest.mark.parametrize("sizes, ask", [([90, 10], 10), ([100, 2, 1, 1], 20), ([1, 1], 100)])
-def test_quotas(spark, sizes, ask):
-    data = [(f"S1-{c}-{i}", str(c), 0, "train") for c, n in enumerate(sizes) for i in range(n)]
+@pytest.mark.parametrize("seed", range(3))
+def test_quotas(spark, seed):
+    """Against a count by hand: one a stratum, the rest in proportion to what is left of it, whole parts first, then the largest remainders."""
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 3, 17, 46]) for _ in range(rng.randrange(3, 7))]
+    ask = rng.randrange(len(sizes), sum(sizes) + 15)
+    data = [(f"S1-{c}-{i}", f"land {c}", 0, "train") for c, n in enumerate(sizes) for i in range(n)]
     roles = splits.assign_roles(spark.createDataFrame(data, "entity_id string, country string, link_count long, legacy string"))
     settings = SplitSettings(train=ask)
-    quotas = [r.quota for r in splits.sample_quotas(roles, settings).collect()]
-    assert sum(quotas) == min(sum(sizes), ask) and min(quotas) >= 1
-    assert splits.stratified_sample(roles, settings).count() == sum(quotas)
+    got = {r.country: r.quota for r in splits.sample_quotas(roles, settings).collect()}
+    rest, room = min(ask, sum(sizes)) - len(sizes), sum(sizes) - len(sizes)
+    share = [Fraction(rest * (n - 1), room) if room else Fraction(0) for n in sizes]
+    want = [1 + int(x) for x in share]
+    for c in sorted(range(len(sizes)), key=lambda c: (int(share[c]) - share[c], c))[: min(ask, sum(sizes)) - sum(want)]:
+        want[c] += 1
+    assert got == {f"land {c}": n for c, n in enumerate(want)}
+    assert splits.stratified_sample(roles, settings).count() == sum(want)
 
 
 def test_too_small_samples_are_refused(spark):
@@ -112,21 +123,44 @@ def test_undefined_ratios_are_null(spark, pairs):
 
 
 def test_tfidf_ties_and_unseen(spark, records):
-    t = index.prepare(records([(f"S2-{i}", "Same Name", "", "US") for i in range(8)]))
-    q = index.prepare(records([("S1-a", "same name", "", "FR"), ("S1-b", "", "", ""), ("S1-c", "zzqq", "", "")]))
-    got = rows(tfidf.top_k(q, t.repartition(5), TfidfSettings(top_k=7)).select("query", "target", "rank"))
-    assert got == [("S1-a", f"S2-{i}", i + 1) for i in range(7)]
+    """Equal targets come by id, as many as asked for; texts without a known gram or without text find none."""
+    ids = [f"S3-{x}" for x in "kbzmaq"]
+    t = index.prepare(records([(i, "Harbour Lights", "5 Pier", "PT") for i in ids]))
+    q = index.prepare(records([("S1-1", "HARBOUR lights", "", "DE"), ("S1-2", "  ", "", ""), ("S1-3", "0077", "", "")]))
+    got = rows(tfidf.top_k(q, t.repartition(3), TfidfSettings(top_k=4)).select("query", "target", "rank"))
+    assert got == [("S1-1", i, n) for n, i in enumerate(sorted(ids)[:4], 1)]
     assert tfidf.top_k(q, t.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.05, 0.25, 0.6])
+def test_the_floor_loses_no_similar_text(spark, records, least):
+    rng = random.Random(int(least * 100))
+    words = ["mill", "miller", "hill", "road", "roads", "oak", "oaks", "tea", "steam", "of", "the"]
+    texts = lambda n: [" ".join(rng.choices(words, k=rng.randrange(1, 6))) for _ in range(n)]
+    t = index.prepare(records([(f"S2-{i}", x, "", "") for i, x in enumerate(texts(60))]))
+    q = index.prepare(records([(f"S1-{i}", x, "", "") for i, x in enumerate(texts(25))]))
+    scores = lambda df: {(r.q_text, r.t_text): r.score for r in df.collect()}
+    every, some = scores(tfidf.text_similarity(q, t, "name", 2, 4)), scores(tfidf.text_similarity(q, t, "name", 2, 4, least))
+    near = {k: v for k, v in every.items() if v >= least}
+    assert near and {k: some[k] for k in near} == pytest.approx(near) and set(some) <= set(every)
+
+
+def test_a_floor_of_nothing_is_refused():
+    for value in (0, 0.0, -0.1, 1.1, True, float("nan")):
+        with pytest.raises(ValueError):
+            TfidfSettings(minimum_similarity=value)
+
+
 def test_index_ties_and_limits(spark, records):
-    t = index.prepare(records([(f"S2-{i:02}", "Same Name", "1 Road", "US") for i in range(9)]))
-    q = index.prepare(records([("S1-a", "SAME  name", "1 road", "FR"), ("S1-b", "", "", "")]))
-    found, ranked = retrieve.retrieve(q, t, RetrievalSettings(per_channel=7, max_candidates=6))
-    trace = retrieve.trace(ranked).collect()
-    assert sorted(r.target_entity_id for r in trace) == [f"S2-{i:02}" for i in range(6)]
+    """All channels agree on equal records; ties go by id, first in each channel, then in the list."""
+    ids = [f"S{2 + i % 2}-{i * 37 % 101:03}" for i in range(14)]
+    t = index.prepare(records([(i, "Blue Heron Bakery", "Quay 8", "NL") for i in ids]))
+    q = index.prepare(records([("S1-1", "blue  HERON bakery", "quay 8", "BE"), ("S1-2", "", "", "")]))
+    found, ranked = retrieve.retrieve(q, t, RetrievalSettings(per_channel=11, max_candidates=5))
+    trace = retrieve.trace(ranked).orderBy("rank").collect()
+    assert [(r.source1_entity_id, r.target_entity_id) for r in trace] == [("S1-1", i) for i in sorted(ids)[:5]]
     assert {r.channels for r in trace} == {"exact_name,exact_address,name_words,address_words"}
-    assert found.count() == 7
+    assert found.count() == 11
 
 
 def test_frequency_cutoff_spares_exact_channels(spark, records):

@@ -53,9 +53,14 @@ def test_experiment_index_and_retrieval(spark, tmp_path):
     with pytest.raises(FileExistsError):
         workflows.prepare_experiment(spark, str(data), str(tmp_path / "exp"), settings=SMALL)
 
-    meta = workflows.build_target_index(spark, str(data), str(tmp_path / "index"))
+    told = []
+    meta = workflows.build_target_index(spark, str(data), str(tmp_path / "index"), progress=told.append)
+    assert told[-1] == "6 targets indexed"
     assert meta["statistics"]["targets"] == 6
-    report = workflows.evaluate_retrieval(spark, str(data), str(tmp_path / "exp"), str(tmp_path / "index"), str(tmp_path / "out"))
+    report = workflows.evaluate_retrieval(spark, str(data), str(tmp_path / "exp"), str(tmp_path / "index"), str(tmp_path / "out"), timed=2, progress=told.append)
+    took = report["latency_seconds"]
+    assert took["queries"] == 2 and 0 < took["mean"] <= took["p95"] <= took["maximum"] <= took["total"]
+    assert told[-1] == "report written" and sum(x.startswith("query S1-") for x in told) == 2
     assert report["summaries"]["hybrid"]["queries"] == 4 and report["summaries"]["hybrid"]["pair_recall"] == 1.0
     assert sorted(p.name for p in (tmp_path / "out").glob("*.tsv")) == ["candidate_pairs.tsv", "exact_name_address_candidates.tsv", "missed_links.tsv", "name_only_candidates.tsv", "query_details.tsv", "retrieval_trace.tsv"]
 
