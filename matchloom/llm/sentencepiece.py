@@ -8,19 +8,19 @@ the score of what they make.  Batches are encoded by several threads.
 Parity: every row is held against the reference library.  In a BPE model with
 all byte pieces, no normalisation and no piece that holds a marker behind
 another character, no merge crosses the start of a run of blanks, so a text's
-ids are those of its words, a run of blanks and what follows it.  Both libraries
-merge by score and then from the left, but for pieces that can be made of
-different parts; where scores are distinct (but for runs of markers), two such merges compete only if a
-word holds a piece of three or more characters twice.  So words of one blank in
-which no three characters come twice are equal by proof, and each other distinct
-word is encoded by both libraries, once a process as long as it is remembered.
-For any other model each row is encoded by both.  So is every
-``verify_every``-th row, and each row whose ids' bytes are not the text's.  Rows
-that differ or hold a word that does (the libraries break ties of equal scores
-in their own ways, as in long runs of blanks) get the reference library's ids
-and say ``backend = 'sentencepiece'``.  Every other row says 'tokenizers'.
-
-Null and empty texts have no tokens and decode to the empty text.
+ids are those of its words, a run of blanks and what follows it, in both
+libraries.  There, each distinct word is encoded by both, in batches, once a
+process as long as it is remembered, and a text's ids are put together from its
+words'.  For any other model, unigram ones among them, each row is encoded by
+both, and so is every ``verify_every``-th row in any case.  Rows that differ or
+hold a word that does (the libraries break ties of equal scores in their own
+ways, as in long runs of blanks) get the reference library's ids and say
+``backend = 'sentencepiece'``.  Every other row says 'tokenizers'.
+
+Null and empty texts have no tokens and decode to the empty text; an empty table
+gives an empty result; texts of any length are encoded whole; repeated rows and
+ids are encoded each for itself; scores that tie are settled by the reference
+library, as above.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ import hashlib
 import os
 import re
 import struct
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +43,9 @@ UNIGRAM, BPE = 1, 2
 #: A run of blanks and what follows it.
 WORDS = re.compile(" +[^ ]*")
 #: Words that a process remembers, and their greatest length; others are encoded again.
-KNOWN, KNOWN_CHARS = 200_000, 64
+KNOWN, KNOWN_CHARS = 300_000, 64
+#: Words that are encoded as one text.
+TOGETHER = 2000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -152,56 +156,101 @@ class Codec:
         m = parse(path)
         kinds = {NORMAL: lambda t: t.replace(MARK, " ").encode(), USER_DEFINED: str.encode, BYTE: lambda t: bytes((int(t[3:5], 16),))}
         self.bytes = [kinds[k](t) if k in kinds else b"" for t, _, k in m["pieces"]]
-        self.first = b" " if m["dummy_prefix"] else b""
         own = {k for _, _, k in m["pieces"]}
         self.by_words = (
             m["model_type"] == BPE and m["dummy_prefix"] and m["escape"] and m["byte_fallback"] and not m["charsmap"] and not m["squeeze"] and USER_DEFINED not in own
             and UNUSED not in own and sum(k == BYTE for _, _, k in m["pieces"]) == 256 and (MARK, NORMAL) in {(t, k) for t, _, k in m["pieces"]}
             and not any(MARK in t.lstrip(MARK) for t, _, k in m["pieces"] if k == NORMAL)
         )
-        scores = {t: s for t, s, k in m["pieces"] if k == NORMAL and len(t) > 1 and t.strip(MARK)}
-        single = {t for t, _, k in m["pieces"] if k == NORMAL and len(t) == 1}
-        self.by_order = len(set(scores.values())) == len(scores) and single.issuperset("".join(scores))
-        self.same: set[str] = {" "}
-        self.other_words: set[str] = set()
-
-    def gives_back(self, ids: list[int], text: str) -> bool:
-        """Whether the ids' bytes, one by one, are the text's: then every decoder gives the text.  False proves nothing."""
-        return b"".join([self.bytes[i] for i in ids]) == (self.first + text.encode("utf-8", "replace") if text else b"")
-
-    def differing(self, texts: list[str]) -> list[bool]:
-        """Whether a text holds a word that the libraries encode in different ways."""
-        words = [set(WORDS.findall(" " + t.replace(MARK, " "))) if t else set() for t in texts]
-        unseen = set().union(*words) - self.same - self.other_words
-        new = [w for w in unseen if not self.by_order or w.startswith("  ") or len({w[i : i + 3] for i in range(len(w) - 2)}) < len(w) - 2]
-        # the prefix stands for a word's first blank
-        rest = [w[1:] for w in new]
+        mark = next((i for i, (t, _, k) in enumerate(m["pieces"]) if t == MARK and k == NORMAL), 0)
+        self.starts = np.array([k == NORMAL and t.startswith(MARK) for t, _, k in m["pieces"]])
+        self.blank = np.array([k == NORMAL and not t.strip(MARK) for t, _, k in m["pieces"]])
+        #: Words to their ids, as 32-bit little-endian numbers; words that the libraries encode in different ways; words whose ids' bytes are not theirs.
+        self.known: dict[str, bytes] = {" ": struct.pack("<i", mark)}
+        self.odd: set[str] = set()
+        self.unsure: set[str] = set()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words by both libraries: many as one text, and those of a text on which they differ one by one."""
+        some = [w for w in words if w[-1] != " "]  # a run of blanks alone would join the next word's
+        for a in range(0, len(some), TOGETHER):
+            part = some[a : a + TOGETHER]
+            # the prefix stands for the first blank
+            joined = "".join(part)
+            ids = self.tok.encode_batch_fast([joined[1:]], add_special_tokens=False)[0].ids
+            packed = np.asarray(ids, "<i4")
+            # a word begins with a marker that no marker stands before
+            cut = np.flatnonzero(self.starts[packed] & ~np.concatenate([[False], self.blank[packed[:-1]]]))
+            known = len(cut) == len(part) and ids == self.other.encode(joined[1:])
+            if not known or b"".join([self.bytes[i] for i in ids]) != joined.encode("utf-8", "replace"):
+                self._learn_each(part)
+                continue
+            raw = packed.tobytes()
+            ends = [*(4 * cut[1:]).tolist(), len(raw)]
+            self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *ends], ends)]))
+        self._learn_each([w for w in words if w[-1] == " "])
+
+    def _learn_each(self, words: list[str]) -> None:
+        rest = [w[1:] for w in words]
         mine = [e.ids for e in self.tok.encode_batch_fast(rest, add_special_tokens=False)]
-        odd = {w for w, x, y in zip(new, mine, self.other.encode(rest, num_threads=self.threads)) if x != y}
-        out = [not w.isdisjoint(odd) or not w.isdisjoint(self.other_words) for w in words]
-        for known, more in ((self.same, unseen - odd), (self.other_words, odd)):
-            if len(known) > KNOWN:
-                known.clear()
-            known.update(w for w in more if len(w) <= KNOWN_CHARS)
-        self.same.add(" ")
-        return out
-
-    def encode_rows(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[str]]:
-        """Ids of a batch, whether they decode to their text, and the library each row's come from."""
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        back = [self.gives_back(x, t) for x, t in zip(ids, texts)]
-        differs = self.differing(texts) if self.by_words else [True] * len(texts)
-        held = [i for i, same in enumerate(back) if i % self.every == 0 or not same or differs[i]]
-        true = dict(zip(held, self.other.encode([texts[i] for i in held], num_threads=self.threads)))
-        wrong = [i for i in held if ids[i] != true[i]]
+        for w, x, y in zip(words, mine, self.other.encode(rest, num_threads=self.threads)):
+            self.known[w] = struct.pack(f"<{len(x)}i", *x)
+            if x != y:
+                self.odd.add(w)
+            elif b"".join([self.bytes[i] for i in x]) != w.encode("utf-8", "replace"):
+                self.unsure.add(w)
+
+    def _forget(self, words: list[str]) -> None:
+        """Keep no long words, and not too many."""
+        if len(self.known) > KNOWN:
+            self.known = {" ": self.known[" "]}
+            self.odd.clear()
+            self.unsure.clear()
+        for w in words:
+            if len(w) > KNOWN_CHARS and self.known.pop(w, None) is not None:
+                self.odd.discard(w)
+                self.unsure.discard(w)
+
+    def _by_words(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Ids of a batch, whether they surely decode to their text, and whether they must be held against the other library."""
+        words = [WORDS.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        seen = set(chain.from_iterable(words))
+        new = list(seen - self.known.keys())
+        self._learn(new)
+        odd, unsure = self.odd & seen, self.unsure & seen
+        ids = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        # a marker of the text itself comes back as a blank
+        sure = [MARK not in t and (not unsure or unsure.isdisjoint(w)) for t, w in zip(texts, words)]
+        held = [bool(odd) and not odd.isdisjoint(w) for w in words]
+        self._forget(new)
+        return ids, sure, held
+
+    def encode_packed(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[str]]:
+        """Ids of a batch (32-bit little-endian), whether they decode to their text, and the library each row's come from."""
+        pack = lambda x: struct.pack(f"<{len(x)}i", *x)
+        if self.by_words:
+            ids, back, held = self._by_words(texts)
+        else:
+            ids = [pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            back, held = [False] * len(texts), [True] * len(texts)
+        check = [i for i, h in enumerate(held) if h or i % self.every == 0]
+        true = [pack(x) for x in self.other.encode([texts[i] for i in check], num_threads=self.threads)]
         backends = ["tokenizers"] * len(texts)
-        for i, x in zip(wrong, self.other.decode([true[i] for i in wrong], num_threads=self.threads) if wrong else []):
-            ids[i], back[i], backends[i] = true[i], x == texts[i], "sentencepiece"
-        odd = [i for i in held if not back[i] and backends[i] == "tokenizers"]
-        for i, x in zip(odd, self.tok.decode_batch([ids[i] for i in odd], skip_special_tokens=False)):
-            back[i] = x == texts[i]
+        for i, x in zip(check, true):
+            if ids[i] != x:
+                ids[i], back[i], backends[i] = x, False, "sentencepiece"
+        unpack = lambda x: list(struct.unpack(f"<{len(x) // 4}i", x))
+        for name, decode in (("tokenizers", lambda x: self.tok.decode_batch(x, skip_special_tokens=False)), ("sentencepiece", lambda x: self.other.decode(x, num_threads=self.threads))):
+            open_ = [i for i, b in enumerate(back) if not b and backends[i] == name]
+            for i, x in zip(open_, decode([unpack(ids[i]) for i in open_]) if open_ else []):
+                back[i] = x == texts[i]
         return ids, back, backends
 
+    def encode_rows(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[str]]:
+        """``encode_packed`` with lists of ids."""
+        ids, back, backends = self.encode_packed(texts)
+        return [list(struct.unpack(f"<{len(x) // 4}i", x)) for x in ids], back, backends
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool], str]:
         """``encode_rows`` with one name for the batch: 'sentencepiece' where any row's ids are that library's."""
         ids, back, backends = self.encode_rows(texts)
@@ -223,17 +272,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("__id"), *[F.col(c) for c in keep if c != id_col], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def make():
-        import numpy as np
-
         c = codec(path, threads, verify_every)
 
         def fn(texts):
             out: list[list] = [[] for _ in range(4 + with_ids)]
             for a in range(0, len(texts), batch):
                 part = texts[a : a + batch]
-                ids, back, backends = c.encode_rows(part)
-                arrays = [np.asarray(x, "<i4") for x in ids]
-                new = [[len(x) for x in ids], *([arrays] if with_ids else []), [hashlib.sha256(x.tobytes()).hexdigest() for x in arrays], back, backends]
+                ids, back, backends = c.encode_packed(part)
+                new = [[len(x) // 4 for x in ids], *([[np.frombuffer(x, "<i4") for x in ids]] if with_ids else []), [hashlib.sha256(x).hexdigest() for x in ids], back, backends]
                 for column, values in zip(out, new):
                     column += values
             return out
