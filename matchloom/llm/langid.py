@@ -12,6 +12,9 @@ text enters a prediction, and every byte of every text is read.
 
 Texts that are null, or hold no letter, get ``und`` with score 0; so does every
 text where no row can be learnt from.  An empty table gives an empty result.
+Equal texts get equal predictions, whatever their ids; repeated rows are drawn
+once; very long texts are read window by window; of labels that tie for a text
+the first by name is taken.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from .common import rowwise
 HIDDEN, WINDOW = 8, 128
 SAMPLE, PIECES, STRETCH = 400, 3, 192
 STEPS, BATCH, TRAIN_WINDOW = 300, 192, 48
-#: More languages than this are taken for an error in the labels.
+#: Of more languages than this, those of most rows are learnt, and of equal ones the first by name.
 MOST_LABELS = 1000
 #: Windows of a block of the forward pass.
 BLOCK = 1024
@@ -39,17 +42,16 @@ def held_out(id_col):
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = SAMPLE) -> list[tuple[str, str]]:
     """(label, stretch) pairs: about ``per_label`` documents of each label, by a hash."""
     rows = docs.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} languages")
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
     if not counts:
         return []
     n_of = F.create_map(*[F.lit(v) for r in counts for v in (r["label"], r["n"])])
-    h = F.xxhash64(F.lit("train"), "id")
+    h = F.xxhash64(F.lit("train"), "id", "text")
+    # a label that is not learnt has no number, and draws nothing; repeated rows are drawn once
     drawn = rows.where((F.pmod(h, F.element_at(n_of, F.col("label"))) < per_label) & F.col("text").rlike(r"\p{L}"))
     room = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
     cut = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr(F.col("text"), (F.pmod(F.xxhash64("id", i), room) + 1).cast("int"), F.lit(STRETCH)))
-    return sorted((r["label"], s) for r in drawn.select("label", cut.alias("cut")).collect() for s in r["cut"])
+    return sorted((r["label"], s) for r in drawn.select("label", cut.alias("cut")).distinct().collect() for s in r["cut"])
 
 
 def _sigmoid(x):

@@ -36,7 +36,26 @@ l AS (SELECT x.r AS a, y.r AS b FROM d x JOIN d y ON x.r <> y.r AND list_cosine_
 {_reach('l', 'd', 'vec_id')}
 SELECT vec_id, (SELECT count(*) FROM l WHERE a = d.r) AS n_links, least AS component_id, vec_id = least AS kept FROM d JOIN low USING (r)"""
 
+#: The water level is the greatest of the levels that each source's place in the order of saturation would give.
+TARGETS = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size) AS z FROM d GROUP BY source),
+r AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+l AS (SELECT max((1.5 * (SELECT sum(z) FROM r) - coalesce((SELECT sum(2 * y.z) FROM r y WHERE 2 * y.z / y.w < 2 * x.z / x.w), 0)) / (SELECT sum(y.w) FROM r y WHERE 2 * y.z / y.w >= 2 * x.z / x.w)) AS level FROM r x),
+t AS (SELECT source, z, least(2 * z, level * w) AS target FROM r, l)
+SELECT doc_id, size::BIGINT AS size, z::BIGINT AS source_size, round(target::DOUBLE, 3) AS target, true AS whole, true AS near FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+
+PAYLOAD = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n, greatest(64, (octet_length(b) + 63) // 64 * 64) AS p FROM d)
+SELECT doc_id, n::BIGINT AS n_bytes, p::BIGINT AS payload_bytes, sha256(b || repeat('\x00'::BLOB, p - n)) AS payload_sha256, true AS stored FROM n"""
+
 ORACLES: dict[str, str] = {
+    "check_op2_tokens": "SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, true AS sound FROM documents",
+    "check_op4_language": r"SELECT count(*) AS texts, count(*) FILTER (text IS NULL OR NOT regexp_matches(text, '\p{L}')) AS und, true AS accurate, true AS sound FROM documents",
+    "check_op5_targets": TARGETS,
+    "check_op6_emails": "SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+'))::BIGINT AS n_emails, false AS leaks FROM documents",
+    "check_op7_payload": PAYLOAD,
+    "check_op8_round_trip": "SELECT doc_id, true AS round_trip, coalesce(text, '') <> '' AS some FROM documents",
     "op1_substring_dedup": SUBSTRING,
     "op3_license_scan": license.oracle(),
     "op9_jaccard_join": JACCARD,

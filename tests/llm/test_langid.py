@@ -83,3 +83,27 @@ def test_accepted_keeps_columns_and_clean_rows(spark, clashing):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(80))
     assert langid.accepted(clashing, steps=1).count() == 2
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def test_long_texts_repeated_rows_and_ties(spark):
+    rows = corpus()
+    long = next(t for i, t, lang in rows if lang == "bb") * 3000
+    df = spark.createDataFrame([*rows, *rows[:20], (7001, long, "bb"), (7002, long, None)], SCHEMA)
+    got = langid.identify(df, steps=120).collect()
+    assert len(got) == len(rows) + 22
+    assert {(r.lang_pred, r.score) for r in got if r.doc_id in (7001, 7002)} == {("bb", next(r.score for r in got if r.doc_id == 7001))}
+    by: dict = {}
+    for r in got:
+        assert by.setdefault(r.doc_id, r) == r
+    # probabilities that tie: the first label by name
+    model = langid.train([("b", "abab"), ("a", "baba")], hidden=2, steps=0)
+    flat = {k: np.zeros_like(v) if k != "labels" else v for k, v in model.items()}
+    tied = langid.predict(spark.createDataFrame([(1, "xyz")], "doc_id long, text string"), flat).first()
+    assert (tied.lang_pred, tied.score) == ("a", 0.5)
+
+
+def test_of_many_labels_the_most_frequent_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 2)
+    rows = [r for r in corpus() if r[2] != "cc" or r[0] % 5 == 0]
+    labels = {a for a, _ in langid.sample(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "lang")}
+    assert labels == {"aa", "bb"}
