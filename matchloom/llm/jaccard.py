@@ -23,16 +23,18 @@ document's connected component under the links.
    all distances to them are exact, and each point goes to the Voronoi cell of
    its nearest pivot; a point x also goes to each cell q with
    d(x, q) <= d(x, p) + 2 r, the window in which the triangle inequality allows
-   a link across the border.  Points linked to a cell's pivot are in its
-   component already, and of them only those with d >= (least distance of a
-   point that is not linked) - r can link to any other: the rest leave, with the
-   pivots.  A cell whose points are all linked to its pivot is done.  Cells
-   join again as regions: in a task, on arrays, where a region of up to ``CELL``
-   points fits, and else as tables, until they fit.  A cell that its pivots do
-   not thin out (all points as far from them as from each other) is joined
-   without its pivots: in a task only points whose distances to all pivots differ
-   by at most r are compared further; as tables, such a region is cut into pairs
-   of blocks that fit a task.  Either way is exact.
+   a link across the border.  Links to pivots give components, and what remains
+   is to find links between different ones: of the points of a cell that are in
+   its pivot's component, only those with d >= (least distance of a point that is
+   not) - r can link to any other; the rest leave, with the pivots, and so do
+   cells and regions of one component.  Cells join again as regions: in a task,
+   on arrays, where a region of up to ``CELL`` points fits, and else as tables,
+   until they fit.  A cell that its pivots do not thin out (all points about as
+   far from them as from each other) is joined without its pivots: in a task only
+   points whose distances to all pivots differ by at most r are compared further;
+   as tables, such a region stays whole and meets pivots from outside its largest
+   component as long as that grows by them, and then the points outside are held, in blocks that fit tasks, against each other and against that
+   component's, which are not compared among themselves.  Either way is exact.
 4. In crowded regions lonely points are looked for again, by all elements.
 
 Lower case is made of A-Z only; words are runs of anything but space and the
@@ -231,13 +233,16 @@ def _distances(ids, offsets, sizes, active, p, mark) -> tuple[np.ndarray, np.nda
     return inter, sizes[active] + sizes[p] - inter
 
 
-def join_cell(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS) -> np.ndarray:
-    """Least member of each set's component under the links of a region, by pivots, Voronoi cells and windows, recursively."""
+def join_cell(sets: list[np.ndarray], percent: int = PERCENT, pivots: int = PIVOTS, labels: np.ndarray | None = None) -> np.ndarray:
+    """Least member of each set's component under the links of a region, by pivots, Voronoi cells and windows, recursively; sets of one of the ``labels`` are connected already."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     offsets = np.cumsum(sizes) - sizes
     root = np.arange(m)
+    if labels is not None:
+        _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+        root = first[of]
     # lonely points first
     lonely = np.bincount(ids) == 1
     alone = np.add.reduceat(lonely[ids], offsets)
@@ -300,7 +305,7 @@ def _join_cells(percent: int):
             column = g.column("elements").combine_chunks()
             flat, cut = column.flatten().to_numpy(), column.offsets.to_numpy()
             sets = [flat[a - cut[0] : b - cut[0]] for a, b in zip(cut, cut[1:])]
-            root = join_cell(sets, percent)
+            root = join_cell(sets, percent, labels=g.column("label").to_numpy())
             held = np.flatnonzero(root != np.arange(len(root)))
             if len(held):
                 yield pa.RecordBatch.from_pydict({"a": nodes[held], "b": nodes[root[held]]})
@@ -308,19 +313,32 @@ def _join_cells(percent: int):
     return run
 
 
-def _cells(rows: DataFrame, percent: int, blocks=None) -> DataFrame:
-    """Edges of regions that fit tasks; ``blocks``: a column, the number of blocks of a row's region."""
-    one = blocks is None
-    dealt = rows.withColumn("blocks", F.lit(1) if one else blocks).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    if one:
-        dealt = dealt.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+def _cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges of regions (region, node, elements, label) that fit tasks; with columns blk and upto, of pairs of each row's block and the blocks below ``upto``."""
+    if "blk" in rows.columns:
+        dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("upto") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
     else:
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
-    dealt = dealt.select("region", "i", "j", "node", "elements")
-    keys = ["region"] if one else ["region", "i", "j"]
+        dealt = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    dealt = dealt.select("region", "i", "j", "node", "elements", "label")
+    keys = ["region", "i", "j"] if "blk" in rows.columns else ["region"]
     return dealt.repartition(*keys).sortWithinPartitions("region", "i", "j").mapInArrow(_join_cells(percent), "a long, b long")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (region, node, n, elements, label) with blk and upto: points outside their region's largest component meet all blocks, those inside only the others'."""
+    by = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("e"))
+    total = by.groupBy("region").agg(F.max(F.struct("c", "label", "e")).alias("main"), F.sum("c").alias("m"), F.sum("e").alias("e"))
+    parts = lambda c, e: F.greatest(F.ceil(c / BLOCK), F.ceil(2 * e / CELL_ELEMENTS)).cast("int")
+    total = total.select("region", "m", F.col("main.label").alias("main"), parts(F.col("m") - F.col("main.c"), F.col("e") - F.col("main.e")).alias("others"), parts(F.col("main.c"), F.col("main.e")).alias("mains"))
+    total = written(total.where("others > 0"), "jaccard-blocks")
+    dealt = join_counted(rows, total, "region", "m", total.agg(F.sum("m")).first()[0] or 0)
+    h = F.xxhash64("node")
+    inside = F.col("label") == F.col("main")
+    blk = F.when(inside, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))).cast("int")
+    upto = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    return dealt.withColumn("blk", blk).withColumn("upto", upto)
+
+
 def _without_lonely(points: DataFrame, percent: int) -> DataFrame:
     """Points without those of which too many elements are found in no other point."""
     elements = points.where(F.col("crowd")).select("node", F.explode("elements").alias("e"))
@@ -329,11 +347,10 @@ def _without_lonely(points: DataFrame, percent: int) -> DataFrame:
     return left.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).drop("alone")
 
 
-def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges to the pivots of each region, (region, cell, node) of the cells that must join again, and the regions without their pivots."""
-    r = 1 - percent / 100
+def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, DataFrame]:
+    """Edges to the pivots of each region, points outside its largest component first, and (region, m, node, n, elements, ds, is_pivot) with the distances to them."""
     slot = F.pmod(F.xxhash64(F.lit(number), "node"), F.lit(PIVOTS))
-    drawn = regions.groupBy("region", slot.alias("slot")).agg(F.max_by(F.struct("node", "n", "elements"), F.xxhash64("node", F.lit(number))).alias("pivot"))
+    drawn = regions.groupBy("region", slot.alias("slot")).agg(F.max_by(F.struct("node", "n", "elements"), F.struct(~F.col("main"), F.xxhash64("node", F.lit(number)))).alias("pivot"))
     pivots = drawn.groupBy("region").agg(F.collect_list("pivot").alias("pivots"))
 
     def measured(p):
@@ -344,18 +361,30 @@ def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, Da
     # a large region's points meet its pivots in parts of MANY
     deals = F.ceil(F.col("m") / MANY).cast("int")
     pivots = pivots.join(regions.select("region", "m").distinct(), "region").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("m")
-    seen = regions.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int")).join(pivots, ["region", "deal"]).withColumn("ds", F.transform("pivots", measured)).drop("pivots", "deal", "m")
-    seen = written(seen, "jaccard-round")
+    seen = regions.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int")).join(pivots, ["region", "deal"]).withColumn("ds", F.transform("pivots", measured))
+    is_pivot = F.exists("pivots", lambda p: p["node"] == F.col("node"))
+    seen = written(seen.select("region", "m", "node", "n", "elements", "ds", is_pivot.alias("is_pivot")), "jaccard-round")
     edges = seen.select("node", F.explode("ds").alias("e")).where("e.linked and e.pivot != node").select(F.col("node").alias("a"), F.col("e.pivot").alias("b"))
+    return edges, seen
+
+
+def _again(seen: DataFrame, comps: DataFrame, percent: int, n_points: int) -> tuple[DataFrame, DataFrame]:
+    """(region, node, label) of the points that are no pivots, in regions of several components, and (region, cell, node) of the cells that must join again."""
+    r = 1 - percent / 100
+    label = lambda rows, key: rows.join(comps.select(F.col("id").alias(key), "component"), key, "left").withColumn("label", F.coalesce("component", key)).drop("component")
+    pivots = label(seen.where("is_pivot").select("region", "m", F.col("node").alias("pivot")), "pivot")
+    of_region = pivots.groupBy("region").agg(F.first("m").alias("m"), F.map_from_entries(F.collect_list(F.struct("pivot", "label"))).alias("pivots"))
+    points = label(seen.where("not is_pivot").select("region", "node", "ds"), "node")
+    open_ = points.groupBy("region").agg((F.min("label") != F.max("label")).alias("open")).where("open")
+    points = join_counted(points, written(of_region.join(open_, "region").drop("open"), "jaccard-pivots"), "region", "m", n_points)
+    points = written(points, "jaccard-labels")
     nearest = F.array_min(F.transform("ds", lambda e: e["d"]))
-    is_pivot = F.exists("ds", lambda e: e["pivot"] == F.col("node"))
     near = F.filter("ds", lambda e: e["d"] <= nearest + 2 * r + 1e-9)
-    seen = seen.where(~is_pivot).withColumn("near", near)
-    cells = seen.select("region", F.explode("near").alias("e")).select(F.xxhash64("region", "e.pivot").alias("cell"), "e.d", "e.linked")
-    open_ = written(cells.groupBy("cell").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least"), F.count(F.lit(1)).alias("held")).where("least is not null"), "jaccard-open")
-    rows = seen.select("region", "node", F.explode("near").alias("e")).select("region", F.xxhash64("region", "e.pivot").alias("cell"), "node", "e.d", "e.linked")
-    again = join_counted(rows, open_, "cell", "held", open_.agg(F.sum("held")).first()[0] or 0).where(~F.col("linked") | (F.col("d") >= F.col("least") - r - 1e-9)).select("region", "cell", "node")
-    return edges, again, seen.select("region", "node", "n", "elements")
+    rows = points.select("region", "node", "label", "pivots", F.explode(near).alias("e"))
+    rows = rows.select("region", F.xxhash64("region", "e.pivot").alias("cell"), "node", "e.d", (F.col("label") == F.try_element_at("pivots", "e.pivot")).alias("same"))
+    cells = written(rows.groupBy("cell").agg(F.min(F.when(~F.col("same"), F.col("d"))).alias("least"), F.count(F.lit(1)).alias("held")).where("least is not null"), "jaccard-open")
+    again = join_counted(rows, cells, "cell", "held", cells.agg(F.sum("held")).first()[0] or 0).where(~F.col("same") | (F.col("d") >= F.col("least") - r - 1e-9))
+    return points.select("region", "node", "label"), written(again.select("region", "cell", "node"), "jaccard-again")
 
 
 def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None) -> DataFrame:
@@ -366,14 +395,16 @@ def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None
     """
     figures = {} if figures is None else figures
     figures |= {"task": 0, "rounds": 0, "blocks": 0}
+    columns = ("region", "node", "n", "elements", "label")
     sized = lambda rows: rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
     total = lambda rows, way: figures.__setitem__(way, figures[way] + (rows.agg(F.sum("m")).first()[0] or 0))
+    both = lambda frames: functools.reduce(DataFrame.unionByName, frames)
     with tables() as keep:
         first = sized(points).where("m > 1")
         points = points.join(first.select("region", (F.col("m") >= CROWD).alias("crowd")), "region")
-        regions = written(_without_lonely(points, percent).select("region", "node", "n", "elements"), "jaccard-regions")
-        found = []
-        number = 0
+        regions = written(_without_lonely(points, percent).withColumn("label", F.col("node")).select(*columns), "jaccard-regions")
+        found, to_pivots = [], []
+        main = lambda rows: rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("region").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("m"))
         while True:
             sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
             large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
@@ -383,23 +414,28 @@ def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None
                 break
             total(sizes.where(large), "rounds")
             n_points = sizes.agg(F.sum("m")).first()[0] or 0
-            regions = join_counted(regions, sizes.where(large).select("region", "m"), "region", "m", n_points)
-            edges, again, rest = _round(regions, percent, number)
-            found.append(edges)
-            again = written(again, "jaccard-again")
-            # regions whose cells hold nearly all they had or more stay, without their pivots, in blocks
-            before = sized(rest)
-            after = again.groupBy("region").agg(F.count(F.lit(1)).alias("held"))
-            state = written(before.join(after, "region").withColumn("stuck", F.col("held") > THINNED * F.col("m")), "jaccard-state")
-            stuck = state.where("stuck")
-            if not stuck.isEmpty():
-                total(stuck, "blocks")
-                blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(2 * F.col("e") / CELL_ELEMENTS)).cast("int")
-                found.append(_cells(rest.join(stuck.select("region", "m", "e"), "region"), percent, blocks))
-            again = again.join(state.where("not stuck").select("region"), "region", "left_semi").select("cell", "node").withColumnRenamed("cell", "region")
-            regions = written(rest.drop("region").join(again, "node").select("region", "node", "n", "elements"), "jaccard-regions")
-            number += 1
-        return keep(written(functools.reduce(DataFrame.unionByName, found), "jaccard-edges"))
+            begun = written(main(regions.join(sizes.where(large).select("region"), "region")), "jaccard-main")
+            regions = join_counted(regions, begun, "region", "m", n_points).withColumn("main", (F.col("label") == F.col("most.label")) & (F.col("most.c") > 1))
+            edges, seen = _round(regions, percent, len(to_pivots))
+            to_pivots.append(edges)
+            labelled, again = _again(seen, components(both(to_pivots)), percent, n_points)
+            # regions whose cells hold nearly all they had or more stay whole, without their pivots, as long as their largest component grows
+            held = again.groupBy("region").agg(F.count(F.lit(1)).alias("held"))
+            others = lambda most: F.col("m") - F.col(most)["c"]
+            state = main(labelled).withColumn("others", others("most")).select("region", "m", "others").join(held, "region")
+            state = state.join(begun.select("region", others("most").alias("others_before")), "region")
+            dense = F.col("held") > THINNED * F.col("m")
+            way = F.when(~dense, "cells").when(F.col("others") <= THINNED * F.col("others_before"), "whole").otherwise("blocks")
+            state = written(state.withColumn("way", way), "jaccard-state")
+            rest = seen.select("region", "node", "n", "elements").join(labelled, ["region", "node"])
+            of = lambda name: state.where(F.col("way") == name).select("region")
+            if not of("blocks").isEmpty():
+                total(state.where("way = 'blocks'"), "blocks")
+                found.append(_cells(_blocks(rest.join(of("blocks"), "region").select(*columns)), percent))
+            cells = rest.join(again.join(of("cells"), "region", "left_semi"), ["region", "node"]).drop("region").withColumnRenamed("cell", "region")
+            whole = rest.join(of("whole"), "region")
+            regions = written(cells.select(*columns).unionByName(whole.select(*columns)), "jaccard-regions")
+        return keep(written(both(found + to_pivots), "jaccard-edges"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, text_hash: str | None = None, key: str | None = None, figures: dict | None = None) -> DataFrame:
