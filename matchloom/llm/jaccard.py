@@ -313,15 +313,13 @@ def _join_cells(percent: int):
     return run
 
 
-def _cells(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges of regions (region, node, elements, label) that fit tasks; with columns blk and upto, of pairs of each row's block and the blocks below ``upto``."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(region, i, j, node, elements, label) of regions that fit tasks; with columns blk and upto, of pairs of each row's block and the blocks below ``upto``."""
     if "blk" in rows.columns:
-        dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("upto") - 1))).withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("upto") - 1))).withColumn("i", F.least("blk", "other").cast("int")).withColumn("j", F.greatest("blk", "other").cast("int"))
     else:
-        dealt = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    dealt = dealt.select("region", "i", "j", "node", "elements", "label")
-    keys = ["region", "i", "j"] if "blk" in rows.columns else ["region"]
-    return dealt.repartition(*keys).sortWithinPartitions("region", "i", "j").mapInArrow(_join_cells(percent), "a long, b long")
+        rows = rows.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    return rows.select("region", "i", "j", "node", "elements", "label")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -408,7 +406,7 @@ def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None
         while True:
             sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
             large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
-            found.append(_cells(regions.join(sizes.where(~large).select("region"), "region"), percent))
+            found.append(_dealt(regions.join(sizes.where(~large).select("region"), "region")))
             total(sizes.where(~large), "task")
             if sizes.where(large).isEmpty():
                 break
@@ -431,11 +429,13 @@ def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None
             of = lambda name: state.where(F.col("way") == name).select("region")
             if not of("blocks").isEmpty():
                 total(state.where("way = 'blocks'"), "blocks")
-                found.append(_cells(_blocks(rest.join(of("blocks"), "region").select(*columns)), percent))
+                found.append(_dealt(_blocks(rest.join(of("blocks"), "region").select(*columns))))
             cells = rest.join(again.join(of("cells"), "region", "left_semi"), ["region", "node"]).drop("region").withColumnRenamed("cell", "region")
             whole = rest.join(of("whole"), "region")
             regions = written(cells.select(*columns).unionByName(whole.select(*columns)), "jaccard-regions")
-        return keep(written(both(found + to_pivots), "jaccard-edges"))
+        # all that fits tasks, of all rounds, in one go
+        cells = both(found).repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(_join_cells(percent), "a long, b long")
+        return keep(written(both([cells, *to_pivots]), "jaccard-edges"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, text_hash: str | None = None, key: str | None = None, figures: dict | None = None) -> DataFrame:
