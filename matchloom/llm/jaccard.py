@@ -19,6 +19,12 @@ document's connected component under the links.
    elements (``strong_size``), which unrelated sets may share, are left out; there are some parts
    more to make up for them, and a set that has more weak parts than there are
    to spare is dealt again with another salt, so an equal strong part is sure.
+   Parts of one frequent element still chain unrelated points to regions that
+   grow with the table.  So regions that no task takes are told apart once more by
+   prefixes: with a set's elements in one order, from rare to frequent in the
+   region, the first that two linked sets have in common is among the first
+   n - ceil(n ``PERCENT`` / 100) + 1 of either; points that share none of those
+   cannot link, and points that do are one smaller region.
 3. In a region every link is found by pivots.  Up to ``PIVOTS`` points are drawn,
    all distances to them are exact, and each point goes to the Voronoi cell of
    its nearest pivot; a point x also goes to each cell q with
@@ -55,7 +61,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import MANY, groups, join_counted, rowwise, tables, written
+from .common import MANY, discard, groups, join_counted, rowwise, tables, written
 from .components import components
 from .substring import _BLANK, _BYTE_BASE, _U, _WORD_BASE, _batches, _mix, _ranges, _raw
 
@@ -329,6 +335,27 @@ def _without_lonely(points: DataFrame, percent: int) -> DataFrame:
     return left.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).drop("alone")
 
 
+def _sharing(parts: DataFrame) -> DataFrame:
+    """(id, component) of the points that share a part, by any chain of them; ``parts``: a table (node, part)."""
+    shared = parts.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows")).where("a != b").select("part", "a", "rows")
+    shared = written(shared, "jaccard-shared")
+    return components(join_counted(parts, shared, "part", "rows", parts.count()).where("node != a").select("node", "a").distinct(), "node", "a")
+
+
+def _split(points: DataFrame, percent: int) -> DataFrame:
+    """Points (region, node, n, elements) in the regions that their prefixes leave; who shares none leaves."""
+    elements = points.select("region", "node", "n", F.explode("elements").alias("e"))
+    counts = written(elements.groupBy("region", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-counts")
+    met = join_counted(elements, counts, ["region", "e"], "c", counts.agg(F.sum("c")).first()[0] or 0)
+    rows = met.groupBy("region", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("common"))
+    # elements that no other point has come first in the order
+    alone = F.col("n") - F.size("common")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    first = rows.where(length > 0).select("region", "node", F.explode(F.slice("common", F.lit(1), length.cast("int"))).alias("x"))
+    parts = written(first.select("node", F.xxhash64("region", "x.e").alias("part")), "jaccard-prefixes")
+    return points.drop("region").join(_sharing(parts).withColumnRenamed("id", "node").withColumnRenamed("component", "region"), "node").select(*points.columns)
+
+
 def _round(regions: DataFrame, percent: int, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges to the pivots of each region, (region, cell, node) of the cells that must join again, and the regions without their pivots."""
     r = 1 - percent / 100
@@ -362,21 +389,26 @@ def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None
     """Edges (a, b) that connect what links, of points (region, node, n, elements).
 
     ``figures``: takes the points that each way joined (in a task, in rounds over
-    tables, in blocks).
+    tables, in blocks), and those whose regions prefixes told apart (split).
     """
     figures = {} if figures is None else figures
-    figures |= {"task": 0, "rounds": 0, "blocks": 0}
+    figures |= {"task": 0, "rounds": 0, "blocks": 0, "split": 0}
+    large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
     sized = lambda rows: rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
     total = lambda rows, way: figures.__setitem__(way, figures[way] + (rows.agg(F.sum("m")).first()[0] or 0))
     with tables() as keep:
         first = sized(points).where("m > 1")
         points = points.join(first.select("region", (F.col("m") >= CROWD).alias("crowd")), "region")
         regions = written(_without_lonely(points, percent).select("region", "node", "n", "elements"), "jaccard-regions")
+        sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
+        if not sizes.where(large).isEmpty():
+            total(sizes.where(large), "split")
+            crowds = written(regions.join(sizes.where(large).select("region"), "region"), "jaccard-crowds")
+            regions = written(regions.join(sizes.where(~large).select("region"), "region").unionByName(_split(crowds, percent)), "jaccard-regions")
         found = []
         number = 0
         while True:
             sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
-            large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
             found.append(_cells(regions.join(sizes.where(~large).select("region"), "region"), percent))
             total(sizes.where(~large), "task")
             if sizes.where(large).isEmpty():
@@ -424,17 +456,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reps = classes.select(F.col("rep").alias("sid")).join(survey.select("sid", "id", "x", "n"), "sid").join(lonely, "sid", "left")
         reps = reps.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
         same_row = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("x") == F.col("s_x"))
+        # on its own, so that the shuffled elements are gone before the texts are
+        reps = written(reps, "jaccard-reps")
         texts = source.select(F.col("id").alias("s_id"), F.col("x").alias("s_x"), "text").join(reps, same_row).select(F.col("sid").alias("node"), "text")
         texts = written(texts, "jaccard-texts")
 
         parts = texts.mapInArrow(_parts(shingle, percent), "node long, parts array<long>").select("node", F.explode("parts").alias("part"))
         parts = written(parts, "jaccard-parts")
-        shared = parts.groupBy("part").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("rows")).where("a != b").select("part", "a", "rows")
-        shared = written(shared, "jaccard-shared")
-        regions = components(join_counted(parts, shared, "part", "rows", parts.count()).where("node != a").select("node", "a").distinct(), "node", "a")
+        regions = _sharing(parts)
         points = texts.join(regions.select(F.col("id").alias("node"), F.col("component").alias("region")), "node")
         points = points.mapInArrow(_sets(shingle), "region long, node long, n long, elements array<long>")
         points = written(points, "jaccard-points")
+        discard(reps, texts, parts)
         joined = components(links(points, percent, figures))
 
         named = classes.select("t1", "t2", "n", "rep", "least").join(joined, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")

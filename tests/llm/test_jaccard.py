@@ -129,3 +129,36 @@ def test_one_of_each_keeps_unrelated_texts_of_equal_ids(docs):
     assert kept([(7, a), (7, b)]) == [(7, a), (7, b)]
     assert kept([(7, a), (9, a), (7, b), (11, b), (7, a)]) == [(7, a), (7, b)]
     assert kept([(7, a), (7, ""), (7, None), (3, b)]) == sorted([(7, a), (7, ""), (7, None), (3, b)], key=str)
+
+
+def test_unrelated_points_of_one_region_meet_in_no_blocks(docs, monkeypatch):
+    """A line that many texts have chains them to one region, whatever else they hold; prefixes tell its families apart."""
+    monkeypatch.setattr(jaccard, "CELL", 12)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    line = [f"line{i}" for i in range(9)]
+    rows = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.choice([40, 60, 90]))
+        for _ in range(3):
+            text = list(base)
+            text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text[:20] + line + text[20:])))
+    figures = {}
+    got = jaccard.near_duplicates(docs(rows), shingle=5, percent=80, figures=figures)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 80)
+    assert (figures["rounds"], figures["blocks"]) == (0, 0) and figures["split"] > 12
+
+
+def test_a_table_leaves_no_shuffle_files(spark, tmp_path):
+    """What was shuffled for a table goes once it is written, not when the driver collects its garbage."""
+    from matchloom.tables import discard, written
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: env.blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    out = written(spark.range(1000).repartition(7).groupBy("id").count())
+    assert out.count() == 1000
+    after = files()
+    discard(out)
+    assert after - before < 4
