@@ -5,6 +5,11 @@ only, up to those beyond which the rest of its unit vector is shorter than s: a
 target text that has none of them has a product below s.  So the most frequent
 grams, which most texts share, join no postings; their share is added for those
 pairs that it can still lift to s.
+
+Where the best k targets are asked for, each query text has an s of its own: the
+similarity of the k-th of some targets, found by its rarest grams.  What is less
+similar is not among the best k, so nothing is lost, and the more targets there
+are, the fewer grams are joined.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from ..schema import TfidfSettings
 from ..tables import tables, written
 
 DIGITS = 12
+#: For a query text's own floor: its rarest grams, the postings of each, and the texts measured for each target asked for.
+SEED_GRAMS, SEED_LIST, SEEDS = 16, 512, 4
 
 
 def gram_counts(texts: DataFrame, low: int, high: int) -> DataFrame:
@@ -44,32 +51,78 @@ def weigh(texts: DataFrame, idf: DataFrame, low: int, high: int) -> DataFrame:
     return _unit(gram_counts(texts, low, high).join(idf, "gram").select("text", "gram", (F.col("tf") * F.col("idf")).alias("w")))
 
 
-def _split(weights: DataFrame, idf: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(text, gram, w, tail) of the rare grams of unit vectors, ``tail``: the length of the rest, and (text, gram, w) of the rest, which is shorter than ``least``."""
-    # from frequent (small idf) to rare, the squared length up to a gram
-    upto = Window.partitionBy("text").orderBy("idf", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = weights.join(idf, "gram").withColumn("upto", F.sum(F.col("w") * F.col("w")).over(upto)).withColumn("frequent", F.col("upto") < least * least * (1 - 1e-9))
-    tail = F.sqrt(F.coalesce(F.max(F.when(F.col("frequent"), F.col("upto"))).over(Window.partitionBy("text")), F.lit(0.0)))
-    rows = rows.withColumn("tail", tail)
-    return rows.where(~F.col("frequent")).select("text", "gram", "w", "tail"), rows.where("frequent").select("text", "gram", "w")
-
+def _floors(asked: DataFrame, posted: DataFrame, held: DataFrame, best: int, least: float) -> DataFrame:
+    """(q, floor): what the ``best``-th target of each query text is at least similar, by some of its targets.
 
-def text_similarity(queries: DataFrame, targets: DataFrame, column: str, low: int, high: int, least: float = 0.0, **limits) -> DataFrame:
-    """(q_text, t_text, score) of distinct texts that share a gram; with ``least``, at any rate all of such a score."""
-    with tables() as keep:
-        idf, weights = (keep(written(x, "tfidf")) for x in fit(targets, column, low, high, **limits))
+    These are the texts that share most with a query's rarest grams, in the
+    heaviest postings of each; they only give the floor, from which all are searched.
+    """
+    heavy = F.row_number().over(Window.partitionBy("gram").orderBy(F.desc("t_w"), "t"))
+    lists = posted.withColumn("heavy", heavy).where(F.col("heavy") <= SEED_LIST).select("t", "gram", "t_w")
+    met = asked.where(F.col("rare") <= SEED_GRAMS).join(lists, "gram").groupBy("q", "t").agg(F.sum(F.col("w") * F.col("t_w")).alias("met"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("met"), "t"))
+    seeds = met.withColumn("place", place).where(F.col("place") <= SEEDS * best).select("q", "t")
+    scores = seeds.join(asked, "q").join(posted, ["t", "gram"]).groupBy("q", "t").agg(F.sum(F.col("w") * F.col("t_w")).alias("score"))
+    upto = F.sum("held").over(Window.partitionBy("q").orderBy(F.desc("score"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = scores.join(held, "t").withColumn("upto", upto).where(F.col("upto") >= best).groupBy("q").agg(F.max("score").alias("floor"))
+    return found.select("q", F.greatest(F.lit(least), F.col("floor") - 1e-9).alias("floor"))
+
+
+def _near(asked: DataFrame, posted: DataFrame) -> DataFrame:
+    """(q, t, score) of all pairs of at least the query's floor.  ``asked``: (q, gram, w, upto, floor).
+
+    Postings are joined by the grams without which the floor cannot be met.  The
+    pairs found take the others' share in two steps, the rarer grams first, and
+    leave as soon as the rest of both unit vectors cannot lift them to the floor.
+    """
+    square = F.col("floor") * F.col("floor") * (1 - 1e-9)
+    rows = asked.withColumn("step", F.when(F.col("upto") >= square, 0).when(F.col("upto") >= square / 4, 1).otherwise(2))
+    tail = lambda step: F.sqrt(F.coalesce(F.max(F.when(F.col("step") > step, F.col("upto"))), F.lit(0.0)))
+    bounds = written(rows.groupBy("q").agg(F.max("floor").alias("floor"), *[tail(i).alias(f"tail{i}") for i in range(3)]), "tfidf-bounds")
+    met = None
+    for step in range(3):
+        here = rows.where(F.col("step") == step).select("q", "gram", "w")
+        pairs = here.join(posted, "gram") if met is None else met.select("q", "t").join(here, "q").join(posted, ["t", "gram"])
+        more = pairs.groupBy("q", "t").agg(F.sum(F.col("w") * F.col("t_w")).alias("met"), F.sum(F.col("t_w") * F.col("t_w")).alias("seen"))
+        if met is not None:
+            more = met.unionByName(more).groupBy("q", "t").agg(F.sum("met").alias("met"), F.sum("seen").alias("seen"))
+        rest = F.sqrt(F.greatest(1 - F.col("seen"), F.lit(0.0)) + 1e-12)
+        can = F.col("met") + F.col(f"tail{step}") * rest >= F.col("floor") - 1e-9
+        met = written(more.join(bounds, "q").where(can).select("q", "t", "met", "seen"), "tfidf-met")
+    return met.select("q", "t", F.least("met", F.lit(1.0)).alias("score"))
+
+
+def text_similarity(queries: DataFrame, targets: DataFrame, column: str, low: int, high: int, least: float = 0.0, best: int | None = None, **limits) -> DataFrame:
+    """(q_text, t_text, score) of distinct texts that share a gram; with ``least``, at any rate all of such a score.
+
+    With ``best``, pairs that are less similar than a query text's ``best``-th target are left out.
+    """
     texts = queries.where(F.col(column) != "").select(F.col(column).alias("text")).distinct()
-    asked = weigh(texts, idf, low, high)
-    posted = weights.select(F.col("text").alias("t_text"), "gram", F.col("w").alias("t_w"))
-    product = F.sum(F.col("w") * F.col("t_w"))
     if least <= 0:
-        both = asked.withColumnRenamed("text", "q_text").join(posted, "gram")
-        return both.groupBy("q_text", "t_text").agg(F.least(product, F.lit(1.0)).alias("score"))
-    rare, frequent = (x.withColumnRenamed("text", "q_text") for x in _split(asked, idf, least))
-    met = rare.join(posted, "gram").groupBy("q_text", "t_text").agg(product.alias("met"), F.max("tail").alias("tail"))
-    met = met.where(F.col("met") + F.col("tail") >= least - 1e-9).drop("tail")
-    more = met.join(frequent, "q_text").join(posted, ["t_text", "gram"]).groupBy("q_text", "t_text").agg(product.alias("more"))
-    return met.join(more, ["q_text", "t_text"], "left").select("q_text", "t_text", F.least(F.col("met") + F.coalesce("more", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        with tables() as keep:
+            idf, weights = (keep(written(x, "tfidf")) for x in fit(targets, column, low, high, **limits))
+        posted = weights.select(F.col("text").alias("t_text"), "gram", F.col("w").alias("t_w"))
+        both = weigh(texts, idf, low, high).withColumnRenamed("text", "q_text").join(posted, "gram")
+        return both.groupBy("q_text", "t_text").agg(F.least(F.sum(F.col("w") * F.col("t_w")), F.lit(1.0)).alias("score"))
+    with tables() as keep:
+        idf, weights = (written(x, "tfidf") for x in fit(targets, column, low, high, **limits))
+        # texts go by numbers
+        q_texts = written(texts.withColumn("q", F.monotonically_increasing_id()), "tfidf-queries")
+        t_texts = targets.where(F.col(column) != "").groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("held"))
+        t_texts = written(t_texts.withColumn("t", F.monotonically_increasing_id()), "tfidf-targets")
+        posted = written(weights.join(t_texts, "text").select("t", "gram", F.col("w").alias("t_w")), "tfidf-postings")
+        # from frequent (small idf) to rare, the squared length up to a gram
+        upto = Window.partitionBy("q").orderBy("idf", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rare = Window.partitionBy("q").orderBy(F.desc("idf"), F.desc("gram"))
+        asked = weigh(q_texts.select("text"), idf, low, high).join(idf, "gram").join(q_texts, "text").select("q", "gram", "w", "idf")
+        asked = written(asked.withColumn("upto", F.sum(F.col("w") * F.col("w")).over(upto)).withColumn("rare", F.row_number().over(rare)).drop("idf"), "tfidf-asked")
+        floors = asked.select("q").distinct().withColumn("floor", F.lit(float(least)))
+        if best:
+            found = written(_floors(asked, posted, t_texts.select("t", "held"), best, least), "tfidf-floors")
+            floors = floors.select("q").join(found, "q", "left").select("q", F.coalesce("floor", F.lit(float(least))).alias("floor"))
+        near = _near(asked.join(floors, "q"), posted)
+        named = near.join(q_texts.withColumnRenamed("text", "q_text"), "q").join(t_texts.withColumnRenamed("text", "t_text"), "t")
+        return keep(written(named.select("q_text", "t_text", "score"), "tfidf-near"))
 
 
 def _best_targets(similar: DataFrame, targets: DataFrame, column: str, k: int, least: float, score: Column) -> DataFrame:
@@ -87,16 +140,18 @@ def top_k(queries: DataFrame, targets: DataFrame, settings: TfidfSettings = Tfid
     A pair's score is the greater of two fields', so its best field has it among
     that field's best k; the fields' lists together hold all of the best k.
     """
-    found = None
-    for column in ("name", "address"):
-        # scores are rounded before they are held against the floor
-        similar = text_similarity(queries, targets, column, settings.low, settings.high, settings.minimum_similarity - 10.0**-DIGITS)
-        best = _best_targets(similar, targets, column, settings.top_k, settings.minimum_similarity, F.round("score", DIGITS))
-        rows = queries.select(F.col("entity_id").alias("query"), F.col(column).alias("q_text")).join(best, "q_text").select("query", "target", "score")
-        found = rows if found is None else found.unionByName(rows)
-    merged = found.groupBy("query", "target").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "target"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= settings.top_k)
+    with tables() as keep:
+        queries, targets = (written(x.select("entity_id", "name", "address"), "tfidf-records") for x in (queries, targets))
+        found = None
+        for column in ("name", "address"):
+            # scores are rounded before they are held against the floor
+            similar = text_similarity(queries, targets, column, settings.low, settings.high, settings.minimum_similarity - 10.0**-DIGITS, settings.top_k)
+            best = _best_targets(similar, targets, column, settings.top_k, settings.minimum_similarity, F.round("score", DIGITS))
+            rows = queries.select(F.col("entity_id").alias("query"), F.col(column).alias("q_text")).join(best, "q_text").select("query", "target", "score")
+            found = rows if found is None else found.unionByName(rows)
+        merged = found.groupBy("query", "target").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "target"))
+        return keep(written(merged.withColumn("rank", rank).where(F.col("rank") <= settings.top_k), "tfidf-best"))
 
 
 def nearest(queries: DataFrame, targets: DataFrame, column: str = "name", k: int = 5, gram: int = 3, min_df: int = 2, max_df: float = 0.5) -> DataFrame:
