@@ -20,7 +20,7 @@ document's connected component under the links.
    more to make up for them, and a set that has more weak parts than there are
    to spare is dealt again with another salt, so an equal strong part is sure.
    Parts of one frequent element still chain unrelated points to regions that
-   grow with the table.  So regions that no task takes are told apart once more by
+   grow with the table.  So regions of more than ``SPLIT`` points are told apart once more by
    prefixes: with a set's elements in one order, from rare to frequent in the
    region, the first that two linked sets have in common is among the first
    n - ceil(n ``PERCENT`` / 100) + 1 of either; points that share none of those
@@ -73,6 +73,8 @@ PIVOTS = 8
 THINNED = 0.9
 #: Points and elements of a region that one task joins, and of a block beyond.
 CELL, CELL_ELEMENTS, BLOCK = 128, 2_000_000, 128
+#: Regions of more points, whose points would go to more than 16 blocks each, are told apart by prefixes first.
+SPLIT = 2048
 #: Regions from so many points on lose their lonely points first.
 CROWD = 16
 
@@ -393,6 +395,7 @@ def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None
     """
     figures = {} if figures is None else figures
     figures |= {"task": 0, "rounds": 0, "blocks": 0, "split": 0}
+    wide = F.col("m") > SPLIT
     large = (F.col("m") > CELL) | (F.col("e") > CELL_ELEMENTS)
     sized = lambda rows: rows.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("e"))
     total = lambda rows, way: figures.__setitem__(way, figures[way] + (rows.agg(F.sum("m")).first()[0] or 0))
@@ -401,10 +404,10 @@ def links(points: DataFrame, percent: int = PERCENT, figures: dict | None = None
         points = points.join(first.select("region", (F.col("m") >= CROWD).alias("crowd")), "region")
         regions = written(_without_lonely(points, percent).select("region", "node", "n", "elements"), "jaccard-regions")
         sizes = written(sized(regions).where("m > 1"), "jaccard-sizes")
-        if not sizes.where(large).isEmpty():
-            total(sizes.where(large), "split")
-            crowds = written(regions.join(sizes.where(large).select("region"), "region"), "jaccard-crowds")
-            regions = written(regions.join(sizes.where(~large).select("region"), "region").unionByName(_split(crowds, percent)), "jaccard-regions")
+        if not sizes.where(wide).isEmpty():
+            total(sizes.where(wide), "split")
+            crowds = written(regions.join(sizes.where(wide).select("region"), "region"), "jaccard-crowds")
+            regions = written(regions.join(sizes.where(~wide).select("region"), "region").unionByName(_split(crowds, percent)), "jaccard-regions")
         found = []
         number = 0
         while True:
@@ -456,8 +459,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reps = classes.select(F.col("rep").alias("sid")).join(survey.select("sid", "id", "x", "n"), "sid").join(lonely, "sid", "left")
         reps = reps.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
         same_row = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("x") == F.col("s_x"))
-        # on its own, so that the shuffled elements are gone before the texts are
-        reps = written(reps, "jaccard-reps")
         texts = source.select(F.col("id").alias("s_id"), F.col("x").alias("s_x"), "text").join(reps, same_row).select(F.col("sid").alias("node"), "text")
         texts = written(texts, "jaccard-texts")
 
@@ -467,7 +468,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         points = texts.join(regions.select(F.col("id").alias("node"), F.col("component").alias("region")), "node")
         points = points.mapInArrow(_sets(shingle), "region long, node long, n long, elements array<long>")
         points = written(points, "jaccard-points")
-        discard(reps, texts, parts)
+        discard(texts, parts)
         joined = components(links(points, percent, figures))
 
         named = classes.select("t1", "t2", "n", "rep", "least").join(joined, F.col("rep") == F.col("id"), "left").withColumn("component", F.coalesce("component", "rep")).drop("id")

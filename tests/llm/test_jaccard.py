@@ -134,6 +134,7 @@ def test_one_of_each_keeps_unrelated_texts_of_equal_ids(docs):
 def test_unrelated_points_of_one_region_meet_in_no_blocks(docs, monkeypatch):
     """A line that many texts have chains them to one region, whatever else they hold; prefixes tell its families apart."""
     monkeypatch.setattr(jaccard, "CELL", 12)
+    monkeypatch.setattr(jaccard, "SPLIT", 12, raising=False)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(5000)]
     line = [f"line{i}" for i in range(9)]
